@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fiberloom.llm import digest, langid, linkrank, mixing, packing, warc
+from fiberloom.llm import digest, langid, linkrank, minhash, mixing, packing, suffixdedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +31,17 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(_table(spark, sf_dir, "documents"))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.cut_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkrank.judge_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_warc, op4_language, op6_fingerprints, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_warc, op4_language, op6_fingerprints, op7_near, op9_repeats, op10_urls)}
 SQL: dict[str, str] = {}
