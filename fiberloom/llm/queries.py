@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fiberloom.llm import digest, langid, linkrank, minhash, mixing, packing, suffixdedup, warc
+from fiberloom.llm import digest, langid, linkrank, minhash, mixing, packing, quality, suffixdedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkrank.judge_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_warc, op4_language, op6_fingerprints, op7_near, op9_repeats, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_warc, op4_language, op5_quality, op6_fingerprints, op7_near, op9_repeats, op10_urls)}
 SQL: dict[str, str] = {}
