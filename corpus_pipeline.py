@@ -1,4 +1,9 @@
-"""Documents to packed windows: stages over a table of documents, each written and read again by the next."""
+"""From documents to packed windows: stages over a table of documents, each written and read again by the next.
+
+Stages take (spark, docs, sf_dir) and return the columns of documents (doc_id, text, lang, source, n_chars), the last
+one the packed pieces.  Within the pipeline a doc_id names a document: rows that share one count as one document
+when copies are taken out, and a mix takes each of them alike.  Null doc_ids are one such name.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +12,70 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiberloom.llm import langid, mixing, packing
-from fiberloom.scratch import settle
+from fiberloom.llm import langid, minhash, mixing, packing, suffixdedup
+from fiberloom.scratch import join_checked, settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
-#: No SQL: the stages include trained models and content-defined hashing.
+#: A prediction below this says that the text is in none of the learned languages.
+LEAST_SCORE = 0.15
+NO_ID = -(1 << 63)
+PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Set lang to the predicted language; documents without letters or in no learned language go."""
+    model = langid.train(docs)
+    told = langid.predict(docs, model, keep=("text", "source", "n_chars"))
+    sure = told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)) if model.langs else told
+    return sure.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each class of near copies stays."""
+    classes = minhash.near_classes(docs)
+    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    stay = settle(_named(stay).groupBy("_id").agg(F.count("*").alias("_rows")), "pipeline-stay")
+    found = join_checked(_named(docs.select(*COLUMNS)), stay, "_id", row_bytes=24)
+    once = found.where("_rows = 1").unionByName(found.where("_rows > 1").dropDuplicates(["_id"]))
+    return once.select(*COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings that stand earlier are cut out; a document with nothing left goes."""
+    cut = suffixdedup.cut_repeats(docs, keep=("lang", "source"), with_text=True)
+    left = cut.where((F.col("kept_text") != "") | (F.col("n_removed") == 0))
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time the mix takes a document; what it takes in part is cut after as many words."""
+    taken = _named(mixing.mix(docs)).groupBy("_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
+    found = join_checked(_named(docs.select(*COLUMNS)), settle(taken, "pipeline-taken"), "_id", row_bytes=40)
+    times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
+    rows = found.withColumn("_nth", F.explode(F.sequence(F.lit(1), times)))
+    words = F.least(F.col("_size"), F.col("_taken") - (F.col("_nth") - 1) * F.col("_size"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)), F.lit(1), words.cast("int")), "")
+    rows = rows.withColumn("text", F.when(words < F.col("_size"), cut).otherwise(F.col("text")))
+    return rows.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row with their windows."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", known_language),
+    ("near-dedup", one_of_near_copies),
+    ("repeats", without_repeats),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+#: None: the stages include a trained model, hashing by content and a packing search.
 ORACLE_SQL = None
 
 

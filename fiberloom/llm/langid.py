@@ -119,8 +119,8 @@ def train(documents: DataFrame, per_lang: int = FIT_PER_LANG, landmarks: int = L
     return fit(sets, [x[0] for x in found], [x[1] <= landmarks for x in found], ridge)
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score for every whole text."""
+def predict(documents: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the kept columns, lang_pred and score for every whole text."""
     spread = documents.sparkSession.sparkContext.broadcast(model)  # bounded: landmarks' grams by languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +150,11 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
                 if len(at) >= BLOCK_ROWS or sum(map(len, blocks)) >= BLOCK_BYTES:
                     flush()
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            kept = [batch.column(i) for i in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", *keep, "lang_pred", "score"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)
+    return documents.select(F.col("doc_id").cast("long"), "text", *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]).mapInArrow(run, f"doc_id long{kept}, lang_pred string, score double")
 
 
 def identify(documents: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fiberloom.llm import digest, langid, linkrank, minhash, mixing, packing, quality, suffixdedup, warc
+from fiberloom.llm import digest, langid, linkrank, minhash, mixing, packing, quality, suffixdedup, warc, xent
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_classes(_table(spark, sf_dir, "documents"))
 
 
+def op8_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what is labelled of good quality."""
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return xent.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.cut_repeats(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -47,5 +53,5 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkrank.judge_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_warc, op4_language, op5_quality, op6_fingerprints, op7_near, op9_repeats, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_warc, op4_language, op5_quality, op6_fingerprints, op7_near, op8_loss, op9_repeats, op10_urls)}
 SQL: dict[str, str] = {}
