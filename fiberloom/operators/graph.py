@@ -35,3 +35,47 @@ def connected_components(edges: DataFrame, left: str, right: str, most_rounds: i
     else:
         raise RuntimeError(f"components not settled after {most_rounds} rounds")
     return nodes.join(now.withColumnRenamed("u", "node"), nodes["u"] == F.col("node"), "left").select(nodes["u"].alias("node"), F.coalesce("v", nodes["u"]).alias("component"))
+
+
+def closure(edges: DataFrame, child: str, parent: str, most_depth: int = 64) -> DataFrame:
+    """(descendant, ancestor, depth): all that is reached over ``edges``, at the least depth; cycles end by themselves.
+
+    Each round joins only what the last one found; it ends when nothing new comes.
+    """
+    step = settle(edges.select(F.col(child).alias("descendant"), F.col(parent).alias("via")).where("descendant is not null and via is not null").distinct(), "closure-edges")
+    known = settle(step.select("descendant", F.col("via").alias("ancestor"), F.lit(1).cast("long").alias("depth")), "closure-known")
+    front = known
+    up = step.select(F.col("descendant").alias("ancestor"), F.col("via").alias("next"))
+    for depth in range(2, most_depth + 1):
+        found = front.join(up, "ancestor").select("descendant", F.col("next").alias("ancestor")).distinct()
+        found = found.join(known, ["descendant", "ancestor"], "left_anti").withColumn("depth", F.lit(depth).cast("long"))
+        front = settle(found, "closure-front")
+        if front.isEmpty():
+            return known
+        known = settle(known.unionByName(front), "closure-known")
+    raise RuntimeError(f"closure is deeper than {most_depth}")
+
+
+def all_paths(spark, edges_view: str, roots_view: str, most_depth: int = 16) -> DataFrame:
+    """(target, path) of all simple paths from the roots over edges (src, dst), both given as views, by a recursive query."""
+    return spark.sql(f"""
+        WITH RECURSIVE walk(target, path, depth) AS (
+          SELECT id, array(id), 0 FROM {roots_view}
+          UNION ALL
+          SELECT e.dst, concat(w.path, array(e.dst)), w.depth + 1
+          FROM walk w JOIN {edges_view} e ON e.src = w.target
+          WHERE w.depth < {most_depth} AND NOT array_contains(w.path, e.dst))
+        SELECT target, path FROM walk""")
+
+
+def dominators(paths: DataFrame) -> DataFrame:
+    """(target, dominator): nodes other than itself that lie on every path to the target."""
+    totals = paths.groupBy("target").agg(F.count("*").alias("_all"))
+    on = paths.select("target", F.explode(F.array_distinct("path")).alias("dominator")).groupBy("target", "dominator").agg(F.count("*").alias("_n"))
+    return on.join(totals, "target").where("_n = _all and target <> dominator").select("target", "dominator")
+
+
+def boundary(edges: DataFrame, inside: DataFrame, left: str, right: str, node: str) -> DataFrame:
+    """Edges that leave a set of nodes."""
+    into = inside.select(F.col(node).alias(left)).distinct()
+    return edges.join(into, left, "left_semi").join(inside.select(F.col(node).alias(right)).distinct(), right, "left_anti")
