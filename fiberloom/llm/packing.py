@@ -18,7 +18,9 @@ separate documents with pieces of their own; an empty table gives no pieces; oth
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,11 @@ from fiberloom.scratch import settle
 
 CAPACITY = 2048
 END_ID = 1
-#: Words whose ids a worker remembers, and the length above which it remembers none.
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
+#: Words whose ids a worker remembers, and the length above which it remembers none; characters encoded at a time.
+CACHE_WORDS, CACHE_CHARS, GROUP_CHARS = 600_000, 40, 1 << 20
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
+#: How byte-level vocabularies show bytes that are not printable Latin-1: counted on from 256.
+SHOWN_BYTES = dict(zip((b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)), range(256, 512), strict=False))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -44,35 +49,61 @@ class WordEncoder:
     """Token ids of whole texts, by way of their space-separated words.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    words in a row; words are looked up first and only new ones are encoded.
+    words in a row.  Words are looked up first.  A new word of Latin-1 letters, perhaps with ASCII signs behind them,
+    is put together from its lower-cased stem and its tail, each given to the BPE model as the
+    tokenizer's own steps would give it; every other new word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, np.ndarray] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            found = [self.ids[w] for w in words]
-        except KeyError:
-            found = self.encode_new(words)
-        return np.frombuffer(b"".join(found), dtype="<u4")
-
-    def encode_new(self, words: list[str]) -> list[bytes]:
-        own: dict[str, bytes] = {}
-        new = [w for w in dict.fromkeys(words) if w not in self.ids]
-        if len(self.ids) + len(new) > CACHE_WORDS:
-            own.update((w, self.ids[w]) for w in dict.fromkeys(words) if w in self.ids)
-            self.ids.clear()
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                own[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        self.ids.update((w, own[w]) for w in new if len(w) <= CACHE_CHARS)
-        return [own[w] if w in own else self.ids[w] for w in words]
+        self.words: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+
+    def unit(self, text: str) -> bytes:
+        """Ids of one piece that the tokenizer's patterns would not split."""
+        shown = text if text.isascii() else text.encode().decode("latin-1").translate(SHOWN_BYTES)
+        found = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+        if len(self.units) >= CACHE_WORDS:
+            self.units.clear()
+        self.units[text] = found
+        return found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(self.words)
+        if len(self.words) + len(new) > CACHE_WORDS and len(new) > 0.3 * sum(map(len, split)):
+            self.words.clear()  # what is remembered is of other texts
+            new = set().union(*split)
+        others, units, unit = [], self.units.get, self.unit
+        for w in new:
+            if m := SIMPLE(w):
+                stem, tail = m.groups()
+                stem = stem.lower()
+                ids = units(stem) or unit(stem)
+                self.words[w] = ids + (units(tail) or unit(tail)) if tail else ids
+            else:
+                others.append(w)
+        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.words[w] = array("I", e.ids).tobytes()
+        out = [np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype="<u4") for words in split]
+        forget = new if len(self.words) > CACHE_WORDS else [w for w in others if len(w) > CACHE_CHARS]
+        for w in forget:
+            del self.words[w]
+        return out
+
+
+def encoded(encoder: WordEncoder, texts: pa.Array) -> Iterator[np.ndarray]:
+    """Ids of each text in order, encoded in groups of about GROUP_CHARS characters."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text.as_py() or "")
+        size += len(group[-1])
+        if size >= GROUP_CHARS:
+            yield from encoder.encode(group)
+            group, size = [], 0
+    yield from encoder.encode(group)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -87,8 +118,8 @@ def cut_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id
         for batch in batches:
             rows: list[tuple] = []
             blobs: list[bytes] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate([encoder.encode(text.as_py() or ""), end])
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(encoder, batch.column(1)), strict=True):
+                ids = np.concatenate([ids, end])
                 for at in range(0, len(ids), capacity):
                     own = ids[at : at + capacity].tobytes()
                     rows.append((doc_id, at, len(own) // 4, zlib.crc32(own), len(ids)))
