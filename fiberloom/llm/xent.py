@@ -35,7 +35,7 @@ WORD_BITS, BIGRAM_BITS = 17, 21
 STRETCH = 1 << 16
 ALPHA, MU = 0.5, 4.0
 START = 0
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 18
 GROUP_CHARS = 1 << 20
 U = np.uint64
 SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
