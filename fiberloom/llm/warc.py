@@ -23,7 +23,8 @@ BREAKING = ("p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "o
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 #: Patterns in order, each with what takes the place of its matches; they mean the same to Java and RE2.
 STRIP = (
-    (r"(?s)<!--.*?-->", " "),
+    (r"[ \t\n\f\r\x0B]+", " "),
+    (r"(?s)<!--.*?-->", ""),
     (r"(?is)<script[^>]*>.*?</script[^>]*>", " "),
     (r"(?is)<style[^>]*>.*?</style[^>]*>", " "),
     (r"(?i)</?(?:" + "|".join(BREAKING) + r")(?:[ \t\n\f\r/][^>]*)?>", "\n"),
