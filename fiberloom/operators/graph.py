@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiberloom.scratch import settle
+from fiberloom.scratch import discard, settle
 
 
 def connected_components(edges: DataFrame, left: str, right: str, most_rounds: int = 64) -> DataFrame:
@@ -27,7 +27,9 @@ def connected_components(edges: DataFrame, left: str, right: str, most_rounds: i
         large = settle(large, "cc-large")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = settle(small.unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc-edges")
+        after = settle(small.unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc-edges")
+        discard(now, large)
+        now = after
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == (seen["n"], seen["h"]):
             break

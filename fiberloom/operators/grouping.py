@@ -45,9 +45,12 @@ def cohorts(df: DataFrame, witness: str, fiber: str, least_fibers: int, least_wi
 
 def determined_axes(df: DataFrame, given: list[str], axes: list[str]) -> DataFrame:
     """One row (axis, determined): whether the columns ``given`` fix each axis; nulls are values."""
-    per = df.groupBy(*given).agg(*[F.count_distinct(cell(a)).alias(a) for a in axes]) if given else df.agg(*[F.count_distinct(cell(a)).alias(a) for a in axes])
-    most = per.agg(*[F.coalesce(F.max(a), F.lit(0)).alias(a) for a in axes])
-    return most.select(F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), (F.col(a) <= 1).alias("determined")) for a in axes])).alias("r")).select("r.axis", "r.determined")
+    named = {f"_a{i}": a for i, a in enumerate(axes)}
+    own = df.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(given)], *[F.struct(a).alias(n) for n, a in named.items()])
+    counts = [F.count_distinct(n).alias(n) for n in named]
+    per = own.groupBy(*[f"_g{i}" for i in range(len(given))]).agg(*counts) if given else own.agg(*counts)
+    most = per.agg(*[F.coalesce(F.max(n), F.lit(0)).alias(n) for n in named])
+    return most.select(F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), (F.col(n) <= 1).alias("determined")) for n, a in named.items()])).alias("r")).select("r.axis", "r.determined")
 
 
 def dependency_violations(df: DataFrame, given: list[str], axis: str, row_id: str) -> DataFrame:

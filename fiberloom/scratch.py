@@ -35,7 +35,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/fiberloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    settled.settled_at = path
+    return settled
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of settled tables that nothing still to be computed reads."""
+    for df in tables:
+        jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+        path = jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
 def fits_broadcast(df: DataFrame, row_bytes: int) -> bool:
