@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fiberloom.llm import digest, langid, linkrank, minhash, mixing, packing, quality, suffixdedup, warc, xent
+from fiberloom.llm import digest, langid, linkrank, minhash, mixing, packing, quality, sql, suffixdedup, warc, xent
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +50,9 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkrank.judge_urls(_table(spark, sf_dir, "pages"))
+    return linkrank.judge_urls(_table(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
+#: Not here: what a trained model, hashing by content or a search decides; those are tested against plain code.
+SQL = sql.SQL
 QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_warc, op4_language, op5_quality, op6_fingerprints, op7_near, op8_loss, op9_repeats, op10_urls)}
-SQL: dict[str, str] = {}
