@@ -137,3 +137,56 @@ def cliques(edges: DataFrame, left: str, right: str, least: int) -> DataFrame:
         return pd.DataFrame([(",".join(map(str, c)), len(c)) for c in found if len(c) >= least], columns=["members", "size"])
 
     return checked(placed, "component").groupBy("component").applyInPandas(search, "members string, size long")
+
+
+def first_fit(df: DataFrame, group: str, row_id: str, resource: str) -> DataFrame:
+    """(group, row_id, batch): rows in order of id, each in the first batch that does not use its resource yet."""
+
+    def assign(rows: pd.DataFrame) -> pd.DataFrame:
+        batches: list[set] = []
+        made = []
+        for i, r in sorted(zip(rows[row_id], rows[resource], strict=True)):
+            at = next((k for k, used in enumerate(batches) if r not in used), len(batches))
+            if at == len(batches):
+                batches.append(set())
+            batches[at].add(r)
+            made.append((rows[group].iloc[0], i, at))
+        return pd.DataFrame(made, columns=["group", "row_id", "batch"])
+
+    kinds = dict(df.dtypes)
+    return checked(df, group).groupBy(group).applyInPandas(assign, f"`group` {kinds[group]}, row_id {kinds[row_id]}, batch long")
+
+
+def fewest(sets: dict[str, set], most: int = 21) -> tuple[str, ...]:
+    """The fewest sets (ties: first by name) that together hold all that any of them holds."""
+    every = set().union(*sets.values()) if sets else set()
+    if len(sets) > most:
+        raise ValueError(f"{len(sets)} sets; the smallest cover is searched among at most {most}")
+    for k in range(len(sets) + 1):
+        for some in combinations(sorted(sets), k):
+            if set().union(*(sets[s] for s in some)) == every:
+                return some
+    return ()
+
+
+def minimum_cover(df: DataFrame, group: str, owner: str, item: str, most: int = 30) -> DataFrame:
+    """(group, rank, owner): the fewest owners of a group that have all its items."""
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        found = fewest({o: set(v) for o, v in rows.groupby(owner)[item]}, most)
+        return pd.DataFrame([(rows[group].iloc[0], k + 1, o) for k, o in enumerate(found)], columns=["group", "rank", "owner"])
+
+    kinds = dict(df.dtypes)
+    return checked(df, group).groupBy(group).applyInPandas(search, f"`group` {kinds[group]}, rank long, owner {kinds[owner]}")
+
+
+def topological(nodes: list[str], needs: dict[str, set[str]]) -> list[str]:
+    """Nodes after all they need, the first by name among those that can come next; raises on a cycle."""
+    left, out = sorted(nodes), []
+    while left:
+        ready = [n for n in left if not (needs.get(n, set()) & set(left))]
+        if not ready:
+            raise ValueError(f"a cycle among {left}")
+        out.append(ready[0])
+        left.remove(ready[0])
+    return out

@@ -25,4 +25,4 @@ def query(sql: str | None = None):
     return put
 
 
-from fiberloom.plans import graphs, ranks, relations, shapes  # noqa: E402, F401
+from fiberloom.plans import graphs, portfolio, ranks, relations, shapes  # noqa: E402, F401
