@@ -7,16 +7,17 @@ Two registers agree with the probability Jaccard similarity.
 
 Documents with equal shingles are one node.  Nodes that agree on a whole band of registers are candidates;
 in each band every node is compared with the least one (its pivot), by the exact similarity of the shingle
-weights.  Links are closed to components.  Where the nodes of a band fall into several components they are
-filed again, under pairs of bands, and all pairs of different components that meet there are compared, save
-those which the triangle inequality rules out by their distances to the pivot (1 - similarity is a metric).
+weights.  Nodes that are not linked to their band's pivot are compared with other pivots of it, for some turns.
+Links are closed to components.  What is still apart in a band after that is compared in full: all pairs of different
+components that agree in a band and share a rare shingle, in a prefix of each set's weight that no pair similar
+enough can lack.
 
 Equal documents are counted by partial aggregation and never paired; a hot pivot is one side of an equi-join
 that adaptive execution splits.  Shingle sets are built only for candidates.
 
 Defined cases: a document of one to four words has one shingle, all of it; a null text or one without words
-is a class of its own; ties and repeated rows fall into one class; a class is named by its least doc_id; a
-null doc_id takes part but names a class only if all its ids are null; an empty table gives an empty result.
+is a class of its own; ties and repeated rows fall into one class; a class is named by its least doc_id (two
+classes that hold rows of one doc_id may share a name); a null doc_id takes part but names a class only if all its ids are null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fiberloom.operators.graph import connected_components
@@ -35,8 +36,12 @@ from fiberloom.scratch import join_checked, settle
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
+#: Turns of new pivots before what is still apart is compared in full.
+TURNS = 2
+#: Shingles of a set, rare ones first, by which a pair is looked at before it is made; bytes of sets in a chunk.
+SKETCH, CHUNK_BYTES = 64, 4 << 20
 GROUP_WORDS = 1 << 18
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 18
 U = np.uint64
 SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
@@ -207,37 +212,154 @@ def candidate_sets(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) ->
     return settle(weighted_sets(join_checked(texts, ids, "_id", row_bytes=16)).join(keys, "key", "left_semi").dropDuplicates(["key"]), "near-sets")
 
 
-def near_classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def apart_in_bands(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """(_i, _band, key, component) of the bands whose nodes lie in several components."""
+    placed = met.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    several = placed.groupBy("_i", "_band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi and _n > 2")
+    return placed.join(several.select("_i", "_band"), ["_i", "_band"]).select("_i", "_band", "key", "component")
+
+
+def pairs_with_pivots(met: DataFrame, open_: DataFrame, turn: int) -> DataFrame:
+    """(_i, _band, a, b): each open node of a band and another pivot, drawn by hash from all of the band's nodes."""
+    drawn = met.groupBy("_i", "_band").agg(F.min(F.struct(F.xxhash64("key", "_i", F.lit(turn)).alias("h"), F.col("key").alias("pivot"))).alias("_p"))
+    pairs = open_.join(drawn, ["_i", "_band"]).where("key <> _p.pivot")
+    return pairs.select("_i", "_band", "key", F.least("key", "_p.pivot").alias("a"), F.greatest("key", "_p.pivot").alias("b"))
+
+
+def packed_sets(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, set sizes, hashes, shares of the weight) of a chunk of sets, in order of key."""
+    order = sorted(zip(table.column("key").to_pylist(), table.column("weighted").to_pylist(), strict=True))
+    sizes = np.array([len(x) // 12 for _, x in order], dtype=np.int64)
+    hashes = np.concatenate([np.frombuffer(x, U, len(x) // 12) for _, x in order])
+    own = [weights(np.frombuffer(x, np.uint32, len(x) // 12, len(x) // 12 * 8)) for _, x in order]
+    return [k for k, _ in order], sizes, hashes, np.concatenate([w / w.sum() for w in own])
+
+
+def split_by(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    sort = np.argsort(bucket, kind="stable")
+    edge = np.flatnonzero(np.r_[True, bucket[sort][1:] != bucket[sort][:-1]])
+    for a, b in zip(edge, [*edge[1:], len(sort)], strict=True):
+        yield int(bucket[sort[a]]), sort[a:b]
+
+
+def ranked_prefixes(sets: DataFrame, share: float) -> DataFrame:
+    """Each set's shingles in one order of all shingles of these sets, rare ones first, up to ``share`` of its weight.
+
+    Returns key, prefix (of o, before), sketch (its first SKETCH o that are not alone), last (of the sketch), alone and
+    least.  o is a shingle's place in the order: in how many sets it is, then 43 bits of its hash; before is the
+    share of weight ahead of it; alone is that of shingles in no other set.
+
+    Chunks of sets send their hashes, without keys, to buckets of hashes, which send back numbers in the same order.
+    """
+    spark = sets.sparkSession
+    size = sets.agg(F.coalesce(F.sum(F.octet_length("weighted")), F.lit(0)).alias("n")).first()["n"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = max(parts, -(-size // CHUNK_BYTES))
+    dealt = sets.select("key", "weighted").withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)))
+    packet = "bucket long, chunk long, blob binary"
+    schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("blob", pa.binary())])
+
+    def made(rows: list[tuple]) -> pa.Table:
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    def send(table: pa.Table) -> pa.Table:
+        _, _, hashes, _ = packed_sets(table)
+        chunk = table.column("chunk")[0].as_py()
+        return made([(b, chunk, hashes[at].tobytes()) for b, at in split_by((hashes % U(chunks)).astype(np.int64))])
+
+    def count(table: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x, U) for x in table.column("blob").to_pylist()]
+        _, which, n = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
+        told = np.split(np.minimum(n, (1 << 20) - 1)[which].astype(np.uint32), np.cumsum([len(x) for x in blobs])[:-1])
+        return made([(b, c, x.tobytes()) for b, c, x in zip(table.column("bucket").to_pylist(), table.column("chunk").to_pylist(), told, strict=True)])
+
+    def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
+        keys, sizes, hashes, p = packed_sets(table)
+        told = dict(zip(replies.column("bucket").to_pylist(), replies.column("blob").to_pylist(), strict=True))
+        often = np.empty(len(hashes), dtype=np.int64)
+        for b, at in split_by((hashes % U(chunks)).astype(np.int64)):
+            often[at] = np.frombuffer(told[b], dtype=np.uint32)
+        place = (often << 43) + (hashes & U((1 << 43) - 1)).astype(np.int64)
+        own = np.repeat(np.arange(len(keys)), sizes)
+        sort = np.lexsort((place, own))
+        out = {c: [] for c in ("key", "prefix", "sketch", "last", "alone", "least")}
+        end = np.cumsum(sizes)
+        for k, a, b in zip(keys, end - sizes, end, strict=True):
+            at = sort[a:b]
+            before = np.cumsum(p[at]) - p[at]
+            some = often[at] > 1
+            use = some & (before <= share + 1e-9)
+            sketch = place[at][some][:SKETCH]
+            for c, v in zip(out, (k, [{"o": o, "before": f} for o, f in zip(place[at][use].tolist(), before[use].tolist(), strict=True)], sketch.tolist(), int(sketch[-1]) if len(sketch) else None, float(p[at][~some].sum()), float(p[at].min())), strict=True):
+                out[c].append(v)
+        pair = pa.list_(pa.struct([("o", pa.int64()), ("before", pa.float64())]))
+        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), (pa.binary(), pair, pa.list_(pa.int64()), pa.int64(), pa.float64(), pa.float64()), strict=True)})
+
+    numbers = dealt.groupBy("chunk").applyInArrow(send, packet).groupBy("bucket").applyInArrow(count, packet)
+    return dealt.groupBy("chunk").cogroup(numbers.groupBy("chunk")).applyInArrow(finish, "key binary, prefix array<struct<o: long, before: double>>, sketch array<long>, last long, alone double, least double")
+
+
+def bound(left: Column, right: Column) -> Column:
+    """The most similarity of two sets with unshared shares of weight of at least ``left`` and ``right``.
+
+    Each shared i adds at most 1 / (1 / a_i + right / b_i), and this is concave in (a_i, b_i); so the sum is at most that of the totals.
+    """
+    left, right = F.least(left, F.lit(0.999)), F.least(right, F.lit(0.999))
+    return 1 / (1 / (1 - left) + 1 / (1 - right) - 1)
+
+
+def pairs_by_prefix(nodes: DataFrame, sets: DataFrame, apart: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of unlike components that agree in a band and can be similar enough at all.
+
+    Similar sets share shingles of at least ``similarity`` of either's weight; so in one order of all shingles, rare ones
+    first, the least shared shingle lies within the first 1 - similarity of the weight of both, and what stands before it
+    is unshared, which bounds the similarity.  Pairs are made on that shingle alone, and not within the component
+    that has most nodes there.
+    """
+    own = settle(apart.select("key", "component").distinct().join(nodes.select("key", "bands"), "key"), "near-own")
+    ranked = settle(ranked_prefixes(sets.join(own.select("key"), "key", "left_semi"), 1 - similarity), "near-ranked")
+    rows = ranked.select("key", F.explode("prefix").alias("_e")).select("key", "_e.o", "_e.before").groupBy("key", "o").agg(F.min("before").alias("before"))
+    placed = settle(rows.join(own.select("key", "component"), "key"), "near-prefix")
+    sizes = placed.groupBy("o", "component").agg(F.count("*").alias("_n"))
+    main = sizes.groupBy("o").agg(F.max(F.struct("_n", "component")).alias("_m"), F.count("*").alias("_parts")).where("_parts > 1").select("o", F.col("_m.component").alias("main"))
+    more = own.select("key", "bands").join(ranked.drop("prefix"), "key")
+    rows = settle(placed.join(main, "o").join(more, "key"), "near-prefix-rows")
+    side = lambda df, n, *more: df.select("o", *more, F.col("key").alias(n), *[F.col(c).alias(c + n) for c in ("component", "bands", "before", "sketch", "last", "alone", "least")])
+    x, y = side(rows.where("component <> main"), "a"), side(rows, "b", "main")
+    once = (F.col("componentb") == F.col("main")) | (F.col("a") < F.col("b"))
+    can_be = lambda u, v: bound(u, v) >= similarity - 1e-9
+    shared = F.array_intersect("sketcha", "sketchb")
+    seen = lambda n, m: (F.size(F.filter(f"sketch{n}", lambda e: e <= F.col(f"last{m}"))) - F.size(shared)) * F.col(f"least{n}")
+    lost = lambda n, m: F.greatest(F.col(f"before{n}"), F.col(f"alone{n}") + seen(n, m)) - 1e-9
+    met = (x["o"] == y["o"]) & can_be(F.col("beforea"), F.col("beforeb")) & (F.col("componenta") != F.col("componentb")) & once
+    first = (F.size(shared) == 0) | (F.array_min(shared) == x["o"])
+    pairs = x.join(y, met & F.arrays_overlap("bandsa", "bandsb") & first & can_be(lost("a", "b"), lost("b", "a")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_classes(documents: DataFrame, similarity: float = SIMILARITY, turns: int = TURNS) -> DataFrame:
     """doc_id, class_id and class_size (documents in the class) for every document."""
     docs = settle(sign(documents), "near-signed")
     nodes = settle(docs.where("key is not null").groupBy("key", "bands").agg(F.min("doc_id").alias("rep")), "near-nodes")
     banded = settle(nodes.select("key", F.posexplode("bands").alias("_i", "_band")), "near-bands")
     pivots = banded.groupBy("_i", "_band").agg(F.min("key").alias("pivot"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     met = settle(banded.join(pivots, ["_i", "_band"]), "near-met")
-    pairs = settle(met.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "near-pairs")
-    compared = settle(similarities(pairs, candidate_sets(documents, nodes, pairs)), "near-compared")
-    links = compared.where(F.col("similarity") >= similarity).select("a", "b")
+    asked = settle(met.where("key <> pivot").select("_i", "_band", "key", F.col("pivot").alias("a"), F.col("key").alias("b")), "near-asked")
+    met = met.select("_i", "_band", "key")
+    sets = candidate_sets(documents, nodes, asked)
+    links = None
+    for turn in range(1, turns + 2):
+        new = settle(similarities(asked.select("a", "b").distinct(), sets).where(F.col("similarity") >= similarity).select("a", "b"), "near-links")
+        links = new if links is None else links.unionByName(new)
+        if turn <= turns:
+            open_ = asked.join(new, ["a", "b"], "left_anti").select("_i", "_band", "key")
+            asked = settle(pairs_with_pivots(met, open_, turn), "near-asked")
     parts = settle(connected_components(links, "a", "b"), "near-parts")
-
-    # what meets in a band beside its pivot, but is not in one component
-    placed = met.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed_bands = placed.groupBy("_i", "_band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi and _n > 2").select("_i", "_band")
-    apart = settle(placed.join(mixed_bands, ["_i", "_band"]), "near-apart")
-    finer = apart.select("key").distinct().join(nodes, "key").select("key", F.posexplode("bands").alias("_j", "_other"))
-    distance = compared.select(F.col("a").alias("pivot"), F.col("b").alias("key"), (1 - F.col("similarity")).alias("_d"))
-    apart = apart.where("key <> pivot").join(distance, ["pivot", "key"])
-    refiled = apart.join(finer, "key").where("_j > _i").select("_i", "_band", "_j", "_other", "component", "key", "_d")
-    crowd = refiled.groupBy("_i", "_band", "_j", "_other").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("_i", "_band", "_j", "_other")
-    refiled = settle(refiled.join(crowd, ["_i", "_band", "_j", "_other"]), "near-refiled")
-    spot = ["_i", "_band", "_j", "_other"]
-    x = refiled.select(*spot, F.col("key").alias("a"), F.col("component").alias("_ca"), F.col("_d").alias("_da"))
-    y = refiled.select(*spot, F.col("key").alias("b"), F.col("component").alias("_cb"), F.col("_d").alias("_db"))
-    more = x.join(y, spot).where((F.col("_ca") < F.col("_cb")) & (F.abs(F.col("_da") - F.col("_db")) <= 1 - similarity + 1e-9))
-    more = settle(more.select("a", "b").distinct(), "near-more")
-    if not more.isEmpty():
-        again = settle(similarities(more, candidate_sets(documents, nodes, more)), "near-again")
-        links = links.unionByName(again.where(F.col("similarity") >= similarity).select("a", "b"))
-        parts = settle(connected_components(links, "a", "b"), "near-parts")
+    apart = settle(apart_in_bands(met, parts), "near-apart")
+    rest = settle(pairs_by_prefix(nodes, sets, apart, similarity), "near-rest")
+    new = settle(similarities(rest, sets).where(F.col("similarity") >= similarity).select("a", "b"), "near-links")
+    if not new.isEmpty():
+        parts = settle(connected_components(links.unionByName(new), "a", "b"), "near-parts")
 
     known = nodes.join(parts.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     named = known.groupBy("component").agg(F.min("rep").alias("class_id"))
