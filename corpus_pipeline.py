@@ -17,7 +17,7 @@ from fiberloom.scratch import join_checked, settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A prediction below this says that the text is in none of the learned languages.
-LEAST_SCORE = 0.15
+LEAST_SCORE = 0.05
 NO_ID = -(1 << 63)
 PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
