@@ -127,3 +127,12 @@ def test_publish(spark, tmp_path):
     assert sinks.to_retire(m, 1, 1 << 30).count() == 1
     with pytest.raises(LookupError):
         sinks.latest(spark, str(tmp_path), "other")
+
+
+def test_covers_orders_and_batches(spark):
+    assert search.fewest({"x": {1, 2}, "y": {2, 3}, "z": {1, 2, 3}}) == ("z",)
+    assert search.topological(["a", "b", "c"], {"a": {"c"}, "b": {"a"}}) == ["c", "a", "b"]
+    with pytest.raises(ValueError, match="cycle"):
+        search.topological(["a", "b"], {"a": {"b"}, "b": {"a"}})
+    df = spark.createDataFrame([("g", 1, "x"), ("g", 2, "x"), ("g", 3, "y"), ("g", 4, "x")], "g string, i long, r string")
+    assert {(r.row_id, r.batch) for r in search.first_fit(df, "g", "i", "r").collect()} == {(1, 0), (2, 1), (3, 0), (4, 2)}
