@@ -28,7 +28,7 @@ LIMITS = {
     "min_duplicate_statements": 3, "min_string_cases": 2, "min_attribute_probes": 2, "min_builder_keywords": 3, "min_export_keys": 3, "min_registration_sites": 2,
     "min_hardcoded_string_sites": 3, "min_unreferenced_private_function_lines": 8, "min_repeated_local_regex_literals": 3, "min_orchestration_function_lines": 150,
     "min_orchestration_branches": 15, "min_orchestration_calls": 50, "min_shared_parameters": 5, "min_parameter_family_function_lines": 40, "min_boundary_fanout_sites": 4,
-    "min_stage_sites": 3, "min_reflective_selector_values": 2, "min_literal_schema_field_count": 2, "min_literal_schema_owner_count": 2, "max_blank_lines": 4,
+    "min_branch_cluster_function_lines": 80, "min_branch_cluster_branches": 8, "min_role_bundle_fields": 3, "min_family_size": 3, "min_stage_sites": 3, "min_reflective_selector_values": 2, "min_literal_schema_field_count": 2, "min_literal_schema_owner_count": 2, "max_blank_lines": 4,
 }
 
 DETECTORS: dict[str, Callable[[DataFrame, DataFrame, dict], DataFrame]] = {}
@@ -328,6 +328,156 @@ def parallel_keyed_tables(facts, modules, limits):
     return apart.select(F.concat_ws(" & ", "left_id", "right_id").alias("subject"), F.col("n_shared").alias("n"), F.array(*[F.struct(F.substring_index(c, ":", 1).alias("path"), F.split(c, ":")[1].cast("long").alias("line"), F.substring_index(c, ":", -1).alias("symbol")) for c in ("left_id", "right_id")]).alias("evidence"))
 
 
+@detector
+def branch_cluster(facts, modules, limits):
+    """Functions of many branches."""
+    big = (number("lines") >= limits["min_branch_cluster_function_lines"]) & (number("branches") >= limits["min_branch_cluster_branches"])
+    return single(family(facts, "method", "function").where(big))
+
+
+@detector
+def protocol_contract(facts, modules, limits):
+    return single(family(facts, "class").where(F.exists("items", lambda b: F.substring_index(b, ".", -1) == "Protocol")))
+
+
+@detector
+def locals_call(facts, modules, limits):
+    return single(family(facts, "reflection").where("name = 'locals'"))
+
+
+@detector
+def reflective_builtin_calls(facts, modules, limits):
+    """Functions that call reflective builtins twice or more."""
+    return grouped(family(facts, "reflection").where("name <> 'locals'"), [F.col("path"), F.col("owner"), F.col("func")], limits["min_reflective_selector_values"])
+
+
+@detector
+def reflective_self_access(facts, modules, limits):
+    return single(family(facts, "reflection").where("value = 'self'"))
+
+
+@detector
+def reflective_attribute_hook(facts, modules, limits):
+    return single(family(facts, "method").where("name in ('__getattr__', '__getattribute__', '__setattr__', '__delattr__')"))
+
+
+@detector
+def constant_property_hook(facts, modules, limits):
+    """Properties of one name that return a constant in several classes."""
+    p = owned(facts, "method").where((number("property") == 1) & (number("constant") == 1))
+    return grouped(p, [F.col("name")], 2, F.count_distinct("cls").alias("classes"), where="classes >= 2")
+
+
+@detector
+def property_alias(facts, modules, limits):
+    """Properties that only return an attribute of self, two or more in a class."""
+    p = owned(facts, "method").where((number("property") == 1) & (number("alias") == 1))
+    return grouped(p, [F.col("cls")], 2)
+
+
+@detector
+def pass_through_wrapper(facts, modules, limits):
+    return single(family(facts, "function", "method").where(number("passing") == 1))
+
+
+@detector
+def classvar_only_leaves(facts, modules, limits):
+    """Classes of one base with nothing but assignments."""
+    c = family(facts, "class").where((number("assignments") > 0) & (number("assignments") == number("members")) & (F.size("items") == 1))
+    return grouped(c, [F.col("items")[0]], limits["min_family_size"])
+
+
+@detector
+def repeated_base_bundle(facts, modules, limits):
+    """The same two bases or more in several classes."""
+    return grouped(family(facts, "class").where(F.size("items") >= 2), [F.array_join("items", ",")], 2)
+
+
+@detector
+def manual_public_api(facts, modules, limits):
+    return single(family(facts, "public_api"))
+
+
+@detector
+def optional_parameter_branch(facts, modules, limits):
+    return single(family(facts, "optional_branch"))
+
+
+@detector
+def repeated_structural_annotation(facts, modules, limits):
+    return grouped(family(facts, "annotation").where(F.length("name") >= 12), [F.col("name")], limits["min_family_size"])
+
+
+@detector
+def duplicate_visitor_method(facts, modules, limits):
+    """visit_ methods of one class with like bodies."""
+    v = owned(facts, "method").where("name like 'visit~_%' escape '~'")
+    return grouped(v, [F.col("cls"), F.col("value")], 2)
+
+
+@detector
+def alternate_constructors(facts, modules, limits):
+    """Class methods named from_..., three or more in a class."""
+    v = owned(facts, "method").where((number("classmethod") == 1) & F.col("name").startswith("from_"))
+    return grouped(v, [F.col("cls")], limits["min_family_size"])
+
+
+@detector
+def identity_keyword_forwarding(facts, modules, limits):
+    return single(family(facts, "identity_forward"))
+
+
+@detector
+def repeated_type_cases(facts, modules, limits):
+    """The same set of two types or more asked for in several functions."""
+    asked = family(facts, "isinstance").select("path", "owner", "func", "name", F.explode("items").alias("t"), "line", "end_line", "value", "items", "numbers", "module", "family")
+    sets = asked.groupBy("path", "owner", "func", "name").agg(F.array_join(F.array_sort(F.collect_set("t")), ",").alias("types"), F.min("line").alias("line"))
+    return grouped(sets.where("types like '%,%'"), [F.col("types")], 2)
+
+
+@detector
+def suffix_axis_surface(facts, modules, limits):
+    """Two or more operations of a class that stand for the same two suffixes or more (load_json, load_yaml, ...)."""
+    m = owned(facts, "method").withColumn("op", F.regexp_extract("name", "^([a-z0-9_]+)_([a-z0-9]+)$", 1)).withColumn("axis", F.regexp_extract("name", "^([a-z0-9_]+)_([a-z0-9]+)$", 2)).where("op <> ''")
+    ops = m.groupBy("cls", "op").agg(F.array_join(F.array_sort(F.collect_set("axis")), ",").alias("axes"), F.array_sort(F.collect_list(place())).alias("e")).where("axes like '%,%'")
+    out = ops.groupBy("cls", "axes").agg(F.count("*").alias("n"), F.array_sort(F.flatten(F.collect_list("e"))).alias("evidence")).where("n >= 2")
+    return out.select(F.concat_ws(" | ", "cls", "axes").alias("subject"), "n", F.slice("evidence", 1, EVIDENCE).alias("evidence"))
+
+
+@detector
+def prefixed_field_bundle(facts, modules, limits):
+    """Two prefixes of a class's fields with the same rests (left_x, right_x, ...), enough of them."""
+    f = owned(facts, "field").select("cls", F.regexp_extract("name", "^([a-z0-9]+)_(.+)$", 1).alias("p"), F.regexp_extract("name", "^([a-z0-9]+)_(.+)$", 2).alias("rest")).where("p <> ''").distinct()
+    pairs = f.withColumn("id", F.concat_ws("/", "cls", "p")).withColumn("atom", F.concat_ws("/", "cls", "rest"))
+    both = matching.overlap_pairs(pairs, "id", "atom", limits["min_role_bundle_fields"])
+    return both.select(F.concat_ws(" & ", "left_id", "right_id").alias("subject"), F.col("n_shared").alias("n"), F.array(*[F.struct(F.lit("").alias("path"), F.lit(0).cast("long").alias("line"), F.col(c).alias("symbol")) for c in ("left_id", "right_id")]).alias("evidence"))
+
+
+@detector
+def private_helper_shadow(facts, modules, limits):
+    """Private functions with the body of a public function elsewhere."""
+    f = family(facts, "function").where(number("statements") >= limits["min_duplicate_statements"])
+    public = f.where(number("private") == 0).select("value", F.size("items").alias("k"), F.col("path").alias("other")).distinct()
+    private = f.where(number("private") == 1).withColumn("k", F.size("items"))
+    return single(private.join(public, ["value", "k"]).where("path <> other").dropDuplicates(["path", "line", "name"]))
+
+
+@detector
+def empty_authority_shell(facts, modules, limits):
+    """Empty classes without descendants to whose name no other module refers."""
+    up = lineage.resolved_bases(facts).where("resolved is not null").select(F.col("resolved").alias("symbol")).distinct()
+    shells = lineage.class_table(facts).where(number("trivial") == 1).join(up, "symbol", "left_anti")
+    used = family(facts, "reference").select("name", F.col("path").alias("other")).distinct()
+    free = shells.select("name", "path", "line", F.lit("").alias("owner"), F.lit("").alias("func")).join(used, "name", "left").groupBy("path", "line", "name", "owner", "func").agg(F.count_if(F.col("other") != F.col("path")).alias("k")).where("k = 0")
+    return single(free)
+
+
+@detector
+def packed_line(facts, modules, limits):
+    lines = code.packed_lines(modules)
+    return lines.select(F.concat_ws(":", "path", "line").alias("subject"), F.lit(1).cast("long").alias("n"), F.array(F.struct("path", "line", F.substring(F.trim("text"), 1, 60).alias("symbol"))).alias("evidence"))
+
+
 @detector
 def syntax_errors(facts, modules, limits):
     return single(family(facts, "syntax_error"))

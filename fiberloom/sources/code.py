@@ -83,6 +83,20 @@ def fingerprint(node: ast.AST) -> str:
     return hashlib.md5(ast.dump(Shape().visit(fresh)).encode()).hexdigest()
 
 
+def last_return(node: ast.AST) -> ast.expr | None:
+    """What a function returns whose body is one return statement."""
+    body = body_of(node)
+    return body[0].value if len(body) == 1 and isinstance(body[0], ast.Return) else None
+
+
+def is_passing_on(value: ast.expr | None, params: list[str]) -> bool:
+    """Whether it is a call with all the parameters as they came, and nothing else."""
+    if not isinstance(value, ast.Call):
+        return False
+    given = [*value.args, *(k.value for k in value.keywords)]
+    return bool(given) and all(isinstance(a, ast.Name) for a in given) and [a.id for a in given] == [p for p in params if p not in ("self", "cls")]
+
+
 BRANCHES = (ast.If, ast.For, ast.While, ast.Try, ast.IfExp, ast.Match, ast.AsyncFor)
 
 
@@ -102,7 +116,7 @@ class Facts(ast.NodeVisitor):
         methods = [x for x in node.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))]
         bases = [dotted(b) for b in node.bases if dotted(b)]
         abstract = any("abstractmethod" in dotted(d) for m in methods for d in m.decorator_list)
-        self.put("class", node.name, node, ",".join(dotted(getattr(d, "func", d)) for d in node.decorator_list), bases, methods=len(methods), abstract=abstract, trivial=all(isinstance(x, (ast.Pass, ast.Expr)) for x in node.body))
+        self.put("class", node.name, node, ",".join(dotted(getattr(d, "func", d)) for d in node.decorator_list), bases, methods=len(methods), abstract=abstract, assignments=sum(isinstance(x, ast.Assign) for x in node.body), members=len(body_of(node)), trivial=all(isinstance(x, (ast.Pass, ast.Expr)) for x in node.body))
         self.decorated(node)
         self.classes.append(node.name)
         for x in node.body:
@@ -126,7 +140,18 @@ class Facts(ast.NodeVisitor):
         params = [a.arg for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs)]
         calls = [x for x in inside if isinstance(x, ast.Call)]
         stages = [dotted(c.func).rpartition(".")[2] for s in body_of(node) for c in [getattr(s, "value", None)] if isinstance(c, ast.Call) and dotted(c.func)]
-        self.put("method" if self.classes and not self.funcs else "function", node.name, node, fingerprint(node), params, statements=len(body_of(node)), branches=sum(isinstance(x, BRANCHES) for x in inside), calls=len(calls), lines=(node.end_lineno or node.lineno) - node.lineno + 1, private=node.name.startswith("_") and not node.name.startswith("__"), abstract=any("abstractmethod" in dotted(d) for d in node.decorator_list))
+        marks = {dotted(getattr(d, "func", d)).rpartition(".")[2] for d in node.decorator_list}
+        value = last_return(node)
+        what = {"property": "property" in marks, "classmethod": "classmethod" in marks, "constant": isinstance(value, ast.Constant), "alias": isinstance(value, ast.Attribute) and dotted(value).startswith("self."), "passing": is_passing_on(value, params)}
+        defaults = dict(zip(reversed([a.arg for a in node.args.args]), reversed(node.args.defaults), strict=False))
+        empty = {k for k, v in defaults.items() if isinstance(v, ast.Constant) and v.value is None}
+        asked = {dotted(x.test.left) for x in inside if isinstance(x, ast.If) and isinstance(x.test, ast.Compare) and isinstance(x.test.ops[0], (ast.Is, ast.IsNot))}
+        for name in sorted(empty & asked):
+            self.put("optional_branch", name, node)
+        for a in (*node.args.args, *node.args.kwonlyargs):
+            if isinstance(a.annotation, ast.Subscript):
+                self.put("annotation", ast.unparse(a.annotation), a)
+        self.put("method" if self.classes and not self.funcs else "function", node.name, node, fingerprint(node), params, statements=len(body_of(node)), branches=sum(isinstance(x, BRANCHES) for x in inside), calls=len(calls), lines=(node.end_lineno or node.lineno) - node.lineno + 1, private=node.name.startswith("_") and not node.name.startswith("__"), abstract=any("abstractmethod" in dotted(d) for d in node.decorator_list), **what)
         if len(stages) >= 2:
             self.put("stages", node.name, node, ">".join(stages), stages)
         self.decorated(node)
@@ -173,6 +198,8 @@ class Facts(ast.NodeVisitor):
         for t in node.targets:
             if isinstance(t, ast.Subscript) and isinstance(v, ast.Name) and v.id[:1].isupper():
                 self.put("registration", dotted(t.value), node, ast.unparse(t.slice), [v.id])
+            if isinstance(t, ast.Name) and t.id == "__all__" and isinstance(v, (ast.List, ast.Tuple)):
+                self.put("public_api", t.id, node, "", [e.value for e in v.elts if isinstance(e, ast.Constant)])
             if isinstance(t, ast.Name) and not self.funcs:
                 if isinstance(v, (ast.Tuple, ast.List, ast.Set)) and v.elts and all(isinstance(e, ast.Name) for e in v.elts):
                     self.put("roster", t.id, node, "sequence", [e.id for e in v.elts])
@@ -198,6 +225,14 @@ class Facts(ast.NodeVisitor):
     def visit_Call(self, node: ast.Call) -> None:
         name = dotted(node.func)
         words = [a.value for a in node.args if isinstance(a, ast.Constant) and isinstance(a.value, str)]
+        if name == "isinstance" and len(node.args) == 2:
+            kinds = node.args[1].elts if isinstance(node.args[1], ast.Tuple) else [node.args[1]]
+            self.put("isinstance", ast.unparse(node.args[0]), node, "", sorted(filter(None, map(dotted, kinds))))
+        if name in ("getattr", "setattr", "hasattr", "delattr", "vars", "locals", "globals"):
+            self.put("reflection", name, node, dotted(node.args[0]) if node.args else "")
+        same = [k.arg for k in node.keywords if k.arg and isinstance(k.value, ast.Name) and k.value.id == k.arg]
+        if len(same) >= 3 and len(same) == len(node.keywords) and not node.args:
+            self.put("identity_forward", name, node, ",".join(same), same)
         if name in ("hasattr", "getattr") and words:
             self.put("probe", words[0], node, name)
         if name == "setattr" and node.args and (dotted(node.args[0])[:1].isupper() or dotted(node.args[0]) == "cls"):
@@ -280,6 +315,13 @@ def facts(source_modules: DataFrame) -> DataFrame:
     return source_modules.select("path", "module", "source").mapInArrow(run, FACTS)
 
 
+def packed_lines(source_modules: DataFrame) -> DataFrame:
+    """(path, line, text): lines with two statements or more on them."""
+    lines = source_modules.select("path", F.posexplode(F.split("source", "\n")).alias("line", "text"))
+    plain = F.regexp_replace("text", r"'[^']*'|\"[^\"]*\"|#.*", "")
+    return lines.where(plain.rlike(r";\s*\S")).select("path", (F.col("line") + 1).cast("long").alias("line"), "text")
+
+
 def family(all_facts: DataFrame, *names: str) -> DataFrame:
     return all_facts.where(F.col("family").isin(*names))
 
