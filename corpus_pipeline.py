@@ -29,9 +29,12 @@ def _named(df: DataFrame) -> DataFrame:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Set lang to the predicted language; documents without letters or in no learned language go."""
     model = langid.train(docs)
-    told = langid.predict(docs, model, keep=("text", "source", "n_chars"))
-    sure = told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)) if model.langs else told
-    return sure.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    if not model.langs:
+        return docs.select(*COLUMNS)
+    told = _named(langid.predict(docs, model)).groupBy("_id").agg(F.max_by("lang_pred", "score").alias("_lang"), F.max("score").alias("_score"))
+    sure = settle(told.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).drop("_score"), "pipeline-languages")
+    found = join_checked(_named(docs.select(*COLUMNS)), sure, "_id", row_bytes=48)
+    return found.withColumn("lang", F.col("_lang")).select(*COLUMNS)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,8 +40,8 @@ BANDS, ROWS = 24, 4
 TURNS = 2
 #: Shingles of a set, rare ones first, by which a pair is looked at before it is made; bytes of sets in a chunk.
 SKETCH, CHUNK_BYTES = 64, 4 << 20
-GROUP_WORDS = 1 << 18
-CACHE_WORDS = 1 << 18
+GROUP_WORDS = 1 << 16
+CACHE_WORDS = 1 << 17
 U = np.uint64
 SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
