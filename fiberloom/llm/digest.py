@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fiberloom.llm.batches import bounded, tidy
+
 BUCKETS = 128
 #: Of a difference: weights of a quartile step, the length's and the ratios' share, and the bound.
 STEP_COST, FAR_COST, LENGTH_COST, RATIO_COST, BOUND = 1, 6, 2, 1, 300
@@ -144,5 +146,5 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
             rows.clear()
 
-    out = dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = bounded(dealt).mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != low, F.col("doc_id")))

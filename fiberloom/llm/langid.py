@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fiberloom.llm.batches import bounded, tidy
+
 FIT_PER_LANG = 300
 LANDMARKS_PER_LANG = 40
 RIDGE = 0.1
@@ -113,7 +115,7 @@ def train(documents: DataFrame, per_lang: int = FIT_PER_LANG, landmarks: int = L
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.unique(gram_codes(x.as_py())).tobytes() for x in b.column(2)], pa.binary())], names=["doc_id", "lang", "grams"])
 
-    found = sample.mapInArrow(run, "doc_id long, lang string, grams binary").collect()
+    found = bounded(sample).mapInArrow(tidy(run), "doc_id long, lang string, grams binary").collect()
     found = sorted({(r["lang"], ranks[r["doc_id"], r["lang"]], bytes(r["grams"])) for r in found if r["grams"] and (r["doc_id"], r["lang"]) in ranks})
     sets = [np.frombuffer(g, dtype=np.int32) for _, _, g in found]
     return fit(sets, [x[0] for x in found], [x[1] <= landmarks for x in found], ridge)
@@ -152,7 +154,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
             flush()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return bounded(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(documents: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fiberloom.llm.batches import bounded, tidy
 from fiberloom.operators.graph import connected_components
 from fiberloom.scratch import join_checked, settle
 
@@ -168,7 +169,7 @@ def sign(documents: DataFrame) -> DataFrame:
             offsets = np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "key", "bands"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return bounded(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, key binary, bands array<long>")
 
 
 def weighted_sets(documents: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def weighted_sets(documents: DataFrame) -> DataFrame:
                 sets = [element[a:b].tobytes() + number[a:b].astype(np.uint32).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "weighted"])
 
-    return documents.select("text").mapInArrow(run, "key binary, weighted binary").where("key is not null")
+    return bounded(documents).select("text").mapInArrow(tidy(run), "key binary, weighted binary").where("key is not null")
 
 
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -201,7 +202,7 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             values = [probability_jaccard(*unpack(x.as_py()), *unpack(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], names=["a", "b", "similarity"])
 
-    return both.mapInArrow(run, "a binary, b binary, similarity double").distinct()
+    return bounded(both).mapInArrow(tidy(run), "a binary, b binary, similarity double").distinct()
 
 
 def candidate_sets(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:

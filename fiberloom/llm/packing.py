@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fiberloom.llm.batches import bounded, tidy
 from fiberloom.scratch import settle
 
 CAPACITY = 2048
 END_ID = 1
-#: Words whose ids a worker remembers, and the length above which it remembers none; characters encoded at a time.
-CACHE_WORDS, CACHE_CHARS, GROUP_CHARS = 600_000, 40, 1 << 20
+#: Words and stems whose ids a worker remembers, the length above which it remembers none, and characters encoded at a time.
+CACHE_WORDS, CACHE_UNITS, CACHE_CHARS, GROUP_CHARS = 200_000, 250_000, 40, 1 << 19
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 #: How byte-level vocabularies show bytes that are not printable Latin-1: counted on from 256.
 SHOWN_BYTES = dict(zip((b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)), range(256, 512), strict=False))
@@ -65,7 +66,7 @@ class WordEncoder:
         """Ids of one piece that the tokenizer's patterns would not split."""
         shown = text if text.isascii() else text.encode().decode("latin-1").translate(SHOWN_BYTES)
         found = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-        if len(self.units) >= CACHE_WORDS:
+        if len(self.units) >= CACHE_UNITS:
             self.units.clear()
         self.units[text] = found
         return found
@@ -129,7 +130,7 @@ def cut_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_id
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(blobs, pa.binary())] if with_ids else []), names=names + (["ids"] if with_ids else []))
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return bounded(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), PIECES + (", ids binary" if with_ids else ""))
 
 
 def fill_window(lengths: list[int], counts: list[int], capacity: int) -> dict[int, int]:

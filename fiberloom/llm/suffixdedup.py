@@ -31,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fiberloom.llm.batches import bounded
+
 LENGTH = 100
 GRAM = 32
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
-PLACE_BITS = 20
+PLACE_BITS = 18
 BLOCK = (1 << PLACE_BITS) - 1
 U = np.uint64
 
@@ -106,7 +108,7 @@ def block_runs(data: np.ndarray, valid: np.ndarray, length: int, gram: int) -> R
     grams = hashes.all(gram)
     ranked = (grams >> U(PLACE_BITS) << U(PLACE_BITS)) | np.arange(len(grams), dtype=U)
     starts = np.flatnonzero(valid)
-    under = (sliding_least(ranked, length - gram + 1)[starts] & U(BLOCK)).astype(np.int64)
+    under = (sliding_least(ranked, length - gram + 1)[starts] & U((1 << PLACE_BITS) - 1)).astype(np.int64)
     edge = np.flatnonzero(np.r_[True, (under[1:] != under[:-1]) | (starts[1:] != starts[:-1] + 1)]) if len(starts) else np.zeros(0, dtype=np.int64)
     first, last, at = starts[edge], starts[np.r_[edge[1:] - 1, len(starts) - 1].astype(np.int64)] if len(edge) else starts[:0], under[edge]
     shape = ((at - first).astype(U) << U(32)) | (last - first).astype(U)
@@ -349,7 +351,7 @@ def cut_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, ke
 
     A character that loses some of its bytes is left out of that text.
     """
-    spark = documents.sparkSession
+    spark = bounded(documents).sparkSession
     low = F.lit(-(1 << 63)).cast("long")
     sized = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fiberloom.llm.batches import bounded, tidy
 from fiberloom.scratch import join_checked, settle
 
 WORD_BITS, BIGRAM_BITS = 17, 21
@@ -107,7 +108,7 @@ def count(marked: DataFrame) -> DataFrame:
             total[np.frombuffer(at.as_py(), dtype=np.uint16)] += np.frombuffer(counts.as_py(), dtype=np.int64)
         return pa.table({"stretch": table.column("stretch")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    sent = marked.select("text", "target").mapInArrow(run, "stretch long, at binary, counts binary")
+    sent = bounded(marked).select("text", "target").mapInArrow(tidy(run), "stretch long, at binary, counts binary")
     return sent.groupBy("stretch").applyInArrow(add, "stretch long, counts binary")
 
 
@@ -166,7 +167,7 @@ def score(documents: DataFrame, target: Model, background: Model) -> DataFrame:
             columns = [pa.array(x, pa.float64(), mask=none) for x in (means[0], means[1], means[0] - means[1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *columns], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    return bounded(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n_words long, target_loss double, background_loss double, score double")
 
 
 def cross_entropy_difference(documents: DataFrame, targets: DataFrame) -> DataFrame:
