@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from fiberloom.llm import xent
-from tests.llm.fixtures import documents, frame
+from tests.llm.fixtures import documents, frame, small
 
 
 def test_losses_against_plain_counts(spark):
@@ -48,3 +48,33 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert xent.cross_entropy_difference(frame(spark, []), none).count() == 0
     assert xent.cross_entropy_difference(frame(spark), none).where("n_words > 0 and score is null").count() == 0
+
+
+def test_more_words_and_bigrams_than_places(spark):
+    """Against the words themselves, with more of them than the smoothing's least vocabulary."""
+    rnd = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rnd.integers(0, 400_000, 900)) for _ in range(250)]
+    good = set(range(0, 250, 7))
+    labels = spark.createDataFrame([(g,) for g in good], "doc_id long")
+    got = {r.doc_id: r for r in xent.cross_entropy_difference(frame(spark, small(enumerate(texts))), labels).collect()}
+    tokens = [t.split() for t in texts]
+    size = len(set().union(*tokens))
+    assert size > 1 << xent.WORD_BITS
+    for chosen, name in ((good, "target_loss"), (range(250), "background_loss")):
+        one, two = Counter(), Counter()
+        for d in chosen:
+            one.update(tokens[d])
+            two.update(zip([None, *tokens[d]], tokens[d]))
+        total, before = sum(one.values()), {**one, None: len(chosen)}
+        share = lambda w: (one[w] + xent.ALPHA) / (total + xent.ALPHA * size)  # noqa: B023, E731
+        loss = lambda v, w: -math.log2((two[v, w] + xent.MU * share(w)) / (before.get(v, 0) + xent.MU))  # noqa: B023, E731
+        want = [sum(loss(v, w) for v, w in zip([None, *t], t)) / len(t) for t in tokens]
+        assert np.allclose([got[d][name] for d in range(250)], want, atol=1e-9)
+
+
+def test_chunks_and_buckets_do_not_matter(spark, monkeypatch):
+    labels = spark.createDataFrame([(3,), (62,)], "doc_id long")
+    one = sorted(map(repr, xent.cross_entropy_difference(frame(spark), labels).selectExpr("doc_id", "n_words", "round(score, 9) s").collect()))
+    monkeypatch.setattr(xent, "CHUNK_CHARS", 500)
+    monkeypatch.setattr(xent, "LEAST_BUCKETS", 3)
+    assert one == sorted(map(repr, xent.cross_entropy_difference(frame(spark), labels).selectExpr("doc_id", "n_words", "round(score, 9) s").collect()))
