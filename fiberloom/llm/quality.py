@@ -11,7 +11,7 @@ summed by partial aggregation; distances are counted in bins, never sorted.  The
 fewer than LEAST_ROWS documents is its language's, or else that of all documents.
 
 Defined cases: null text has no words (and fails the base rules); null language and source are groups of
-their own; a group without spread in a dimension has the floor variance there; repeated rows count as
+their own; the square of the floor is added to each variance; repeated rows count as
 often as they stand; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -36,8 +36,9 @@ LEAST_ROWS = 60
 THRESHOLD = 28.5
 #: Scales a covariance of the inner 75 % (four dimensions) to that of all.
 CONSISTENCY = 1.46
-#: Least standard deviation of each dimension.
-FLOORS = (0.35, 0.25, 0.25, 0.25)
+#: Added in square to the variances, at the scale of a short document's chance: its mean word length, one symbol, one repeated line and the words of it.
+#: Larger ones would decide in place of the groups' own spread, which is 0.05 or less on given texts.
+FLOORS = (0.05, 0.035, 0.2, 0.15)
 BINS_PER_E = 32
 
 

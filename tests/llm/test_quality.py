@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from fiberloom.llm import quality
-from tests.llm.fixtures import documents, frame
+from tests.llm.fixtures import documents, frame, small
 
 WORD = re.compile(quality.WORD)
 
@@ -60,6 +60,26 @@ def test_distances(spark):
     assert all(got[i].kept == (i % 15 != 0) for i in range(150))
 
 
+def test_some_symbols_go_and_clean_texts_stay(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=rnd.randint(2, 9)))
+    lines = lambda: [" ".join(word() for _ in range(8)) for _ in range(rnd.randint(12, 25))]
+
+    def junk(share):
+        chars = list("\n".join(lines()))
+        at = [i for i, c in enumerate(chars) if c not in " \n"]
+        for i in rnd.sample(at, round(len(at) * share / 100)):
+            chars[i] = rnd.choice("#*$%&|<>")
+        return "".join(chars)
+
+    clean = ["\n".join(lines()) for _ in range(160)]
+    odd = [clean[0] + " #", clean[1] + "\n" + clean[1].split("\n")[3]]
+    bad = [junk(8 + i % 7) for i in range(21)]
+    got = {r.doc_id: r for r in quality.judge(frame(spark, small(enumerate(clean + odd + bad)))).collect()}
+    first = len(clean) + len(odd)
+    assert [i for i in got if got[i].kept != (i < first)] == []
+
+
 def test_no_python_in_the_plan(spark):
     plan = quality.judge(frame(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan.split("== Physical Plan ==")[1])
