@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, islice
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiberloom.operators.graph import connected_components
@@ -70,13 +70,16 @@ def independent_set(nodes: dict[str, float], conflicts: set[frozenset]) -> tuple
 
 
 def beam(df: DataFrame, group: str, row_id: str, covers: str, gain: str, width: int = 8, depth: int = 4) -> DataFrame:
-    """(group, step, row_id, total) of the best sequence: each step takes an uncovered item; ``width`` sequences go on."""
+    """(group, step, row_id, total) of the best sequence: each step takes an uncovered item; ``width`` sequences go on.
+
+    No sequence is followed by more than ``width`` items, so only the best ``width`` rows of what they cover come into question.
+    """
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         items = sorted(zip(rows[row_id], rows[covers], rows[gain], strict=True), key=lambda r: (-r[2], r[0]))
         front = [(0, (), frozenset())]
         for _ in range(depth):
-            grown = [(total + g, (*path, i), used | {c}) for total, path, used in front for i, c, g in items if c not in used]
+            grown = [(total + g, (*path, i), used | {c}) for total, path, used in front for i, c, g in islice((x for x in items if x[1] not in used), width)]
             if not grown:
                 break
             front = sorted(grown, key=lambda s: (-s[0], s[1]))[:width]
@@ -84,6 +87,8 @@ def beam(df: DataFrame, group: str, row_id: str, covers: str, gain: str, width:
         return pd.DataFrame([(rows[group].iloc[0], k + 1, i, total) for k, i in enumerate(path)], columns=["group", "step", "row_id", "total"])
 
     kinds = dict(df.dtypes)
+    place = F.row_number().over(Window.partitionBy(group, covers).orderBy(F.desc(gain), row_id))
+    df = df.withColumn("_place", place).where(F.col("_place") <= width).drop("_place")
     return checked(df, group).groupBy(group).applyInPandas(search, f"`group` {kinds[group]}, step long, row_id {kinds[row_id]}, total long")
 
 
@@ -140,21 +145,12 @@ def cliques(edges: DataFrame, left: str, right: str, least: int) -> DataFrame:
 
 
 def first_fit(df: DataFrame, group: str, row_id: str, resource: str) -> DataFrame:
-    """(group, row_id, batch): rows in order of id, each in the first batch that does not use its resource yet."""
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        batches: list[set] = []
-        made = []
-        for i, r in sorted(zip(rows[row_id], rows[resource], strict=True)):
-            at = next((k for k, used in enumerate(batches) if r not in used), len(batches))
-            if at == len(batches):
-                batches.append(set())
-            batches[at].add(r)
-            made.append((rows[group].iloc[0], i, at))
-        return pd.DataFrame(made, columns=["group", "row_id", "batch"])
+    """(group, row_id, batch): rows in order of id, each in the first batch that does not use its resource yet.
 
-    kinds = dict(df.dtypes)
-    return checked(df, group).groupBy(group).applyInPandas(assign, f"`group` {kinds[group]}, row_id {kinds[row_id]}, batch long")
+    Batches that use a resource are the first ones, so a row's batch is its place among the rows of its resource.
+    """
+    place = F.row_number().over(Window.partitionBy(group, resource).orderBy(row_id)) - 1
+    return df.select(F.col(group).alias("group"), F.col(row_id).alias("row_id"), place.cast("long").alias("batch"))
 
 
 def fewest(sets: dict[str, set], most: int = 21) -> tuple[str, ...]:
@@ -162,11 +158,27 @@ def fewest(sets: dict[str, set], most: int = 21) -> tuple[str, ...]:
     every = set().union(*sets.values()) if sets else set()
     if len(sets) > most:
         raise ValueError(f"{len(sets)} sets; the smallest cover is searched among at most {most}")
-    for k in range(len(sets) + 1):
-        for some in combinations(sorted(sets), k):
-            if set().union(*(sets[s] for s in some)) == every:
-                return some
-    return ()
+    names, places = sorted(sets), {x: i for i, x in enumerate(every)}
+    masks = [sum(1 << places[x] for x in sets[n]) for n in names]
+    rest = [0]
+    for m in reversed(masks):
+        rest.append(rest[-1] | m)
+    rest.reverse()
+
+    def cover(at: int, open_: int, left: int) -> tuple[str, ...] | None:
+        """The first by name of ``left`` sets or fewer from ``at`` on that hold what is open."""
+        if not open_:
+            return ()
+        if open_ & ~rest[at] or open_.bit_count() > left * max(((m & open_).bit_count() for m in masks[at:]), default=0):
+            return None
+        for i in range(at, len(masks)):
+            if open_ & ~rest[i]:
+                return None
+            if masks[i] & open_ and (found := cover(i + 1, open_ & ~masks[i], left - 1)) is not None:
+                return (names[i], *found)
+        return None
+
+    return next(found for k in range(len(sets) + 1) if (found := cover(0, (1 << len(every)) - 1, k)) is not None)
 
 
 def minimum_cover(df: DataFrame, group: str, owner: str, item: str, most: int = 30) -> DataFrame:

@@ -77,21 +77,21 @@ def mwis_selection(spark, table):
 @query()
 def beam_trajectories(spark, table):
     """For each brand, sequences of parts that cover new types at each step, by savings, within a beam."""
-    part = table("part").where("p_size <= 5").select("p_brand", "p_partkey", "p_type", F.col("p_size").cast("long").alias("gain"))
+    part = table("part").select("p_brand", "p_partkey", "p_type", F.col("p_size").cast("long").alias("gain"))
     return search.beam(part, "p_brand", "p_partkey", "p_type", "gain")
 
 
 @query()
 def concept_lattice(spark, table):
     """All closed sets of attributes of the nations' segments, per region."""
-    rows = table("customer").join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).where("c_acctbal > 9000").select("n_regionkey", "n_name", "c_mktsegment").distinct()
+    rows = table("customer").join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey", "n_name", "c_mktsegment").distinct()
     return search.concepts(rows, "n_regionkey", "n_name", "c_mktsegment")
 
 
 @query()
 def maximal_cliques(spark, table):
-    """Maximal cliques of brands that share many types at one size, by component."""
-    part = table("part").where("p_size = 10").select("p_brand", "p_type").distinct()
-    a, b = part.withColumnRenamed("p_brand", "a"), part.withColumnRenamed("p_brand", "b")
-    edges = a.join(b, "p_type").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 1").select("a", "b")
+    """Maximal cliques of brands that share types at one size (named size/brand), for each size, by component."""
+    part = table("part").select("p_size", F.concat_ws("/", F.col("p_size").cast("string"), "p_brand").alias("brand"), "p_type").distinct()
+    a, b = part.withColumnRenamed("brand", "a"), part.withColumnRenamed("brand", "b")
+    edges = a.join(b, ["p_size", "p_type"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 1").select("a", "b")
     return search.cliques(edges, "a", "b", least=2)

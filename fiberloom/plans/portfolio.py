@@ -125,14 +125,14 @@ def scan_prediction(spark, table):
     return last.select("detector", F.lit(500).alias("modules_now"), F.round(F.col("seconds") * 500 / F.col("modules"), 6).alias("predicted"))
 
 
-@query()
+@query('SELECT p_brand AS "group", p_partkey AS row_id, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) - 1 AS batch FROM part')
 def execution_groups(spark, table):
     """Parts of each brand in groups that use no type twice: each goes to the first group that has room for it."""
-    return search.first_fit(table("part").where("p_size <= 5").select("p_brand", "p_partkey", "p_type"), "p_brand", "p_partkey", "p_type")
+    return search.first_fit(table("part").select("p_brand", "p_partkey", "p_type"), "p_brand", "p_partkey", "p_type")
 
 
 @query()
 def pattern_cover(spark, table):
     """The fewest brands whose parts have all sizes of a type, with the brands in order of their first part."""
-    part = table("part").where("p_size <= 6 and p_type = 'ECONOMY'").select("p_type", "p_brand", F.col("p_size").cast("string").alias("size")).distinct()
+    part = table("part").select("p_type", "p_brand", F.col("p_size").cast("string").alias("size")).distinct()
     return search.minimum_cover(part, "p_type", "p_brand", "size")
