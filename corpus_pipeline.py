@@ -2,11 +2,12 @@
 
 Stages take (spark, docs, sf_dir) and return the columns of documents (doc_id, text, lang, source, n_chars), the last
 one the packed pieces.  Within the pipeline a doc_id names a document: rows that share one count as one document
-when copies are taken out, and a mix takes each of them alike.  Null doc_ids are one such name.
+when copies are taken out, and a mix takes each of them alike.  A row without a doc_id is a document of its own.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,31 +19,49 @@ from fiberloom.scratch import join_checked, settle
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A prediction below this says that the text is in none of the learned languages.
 LEAST_SCORE = 0.05
-NO_ID = -(1 << 63)
 PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 
-def _named(df: DataFrame) -> DataFrame:
-    return df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_id``: the doc_id, and for rows without one a number of their own that is no doc_id, settled once."""
+    docs = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    ends = docs.agg(F.max("_id").alias("top"), F.count(F.when(F.col("_id").isNull(), 1)).alias("n")).first()
+    if not ends["n"]:
+        return docs
+    bare = settle(docs.where("_id is null").drop("_id").withColumn("_place", F.monotonically_increasing_id()), "pipeline-bare")
+    span = bare.agg(F.max("_place")).first()[0] + 1
+    most, draw = (1 << 63) - 1, random.Random(17)
+    # after all doc_ids, so that these name a class first; only if there is no room, where no doc_id lies
+    firsts = [(ends["top"] if ends["top"] is not None else -1) + 1, *[draw.randrange(-most, most - span) for _ in range(20)]]
+    for first in firsts:
+        if first + span <= most and docs.where(F.col("_id").between(first, first + span)).isEmpty():
+            return docs.where("_id is not null").unionByName(bare.withColumn("_id", F.col("_place") + F.lit(first)).drop("_place"))
+    raise ValueError(f"no free range of {span} numbers among the doc_ids for the {ends['n']} rows without one")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Set lang to the predicted language; documents without letters or in no learned language go."""
+    """Set lang to the predicted language; documents without letters or in no learned language go.
+
+    Predictions depend on the text alone, and come back by its hash.
+    """
     model = langid.train(docs)
     if not model.langs:
         return docs.select(*COLUMNS)
-    told = _named(langid.predict(docs, model)).groupBy("_id").agg(F.max_by("lang_pred", "score").alias("_lang"), F.max("score").alias("_score"))
+    of_text = F.xxhash64("text")
+    told = langid.predict(docs.select(of_text.alias("doc_id"), "text"), model).withColumnRenamed("doc_id", "_id")
+    told = told.groupBy("_id").agg(F.max_by("lang_pred", "score").alias("_lang"), F.max("score").alias("_score"))
     sure = settle(told.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).drop("_score"), "pipeline-languages")
-    found = join_checked(_named(docs.select(*COLUMNS)), sure, "_id", row_bytes=48)
+    found = join_checked(docs.select(*COLUMNS).withColumn("_id", of_text), sure, "_id", row_bytes=48, salt_by="doc_id")
     return found.withColumn("lang", F.col("_lang")).select(*COLUMNS)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class of near copies stays."""
-    classes = minhash.near_classes(docs)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stay = settle(_named(stay).groupBy("_id").agg(F.count("*").alias("_rows")), "pipeline-stay")
-    found = join_checked(_named(docs.select(*COLUMNS)), stay, "_id", row_bytes=24)
+    """The document with the least doc_id of each class of near copies stays, or any one if none has a doc_id."""
+    named = _named(docs.select(*COLUMNS))
+    classes = minhash.near_classes(named.select(F.col("_id").alias("doc_id"), "text"))
+    stay = classes.where(F.col("doc_id") == F.col("class_id")).withColumnRenamed("doc_id", "_id")
+    stay = settle(stay.groupBy("_id").agg(F.count("*").alias("_rows")), "pipeline-stay")
+    found = join_checked(named, stay, "_id", row_bytes=24)
     once = found.where("_rows = 1").unionByName(found.where("_rows > 1").dropDuplicates(["_id"]))
     return once.select(*COLUMNS)
 
@@ -56,8 +75,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document; what it takes in part is cut after as many words."""
-    taken = _named(mixing.mix(docs)).groupBy("_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
-    found = join_checked(_named(docs.select(*COLUMNS)), settle(taken, "pipeline-taken"), "_id", row_bytes=40)
+    named = _named(docs.select(*COLUMNS))
+    taken = mixing.mix(named, keep=("_id",)).groupBy("_id").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
+    found = join_checked(named, settle(taken, "pipeline-taken"), "_id", row_bytes=40)
     times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
     rows = found.withColumn("_nth", F.explode(F.sequence(F.lit(1), times)))
     words = F.least(F.col("_size"), F.col("_taken") - (F.col("_nth") - 1) * F.col("_size"))

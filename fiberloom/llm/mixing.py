@@ -60,18 +60,18 @@ def water_fill(sources: DataFrame, total: float, cap: float) -> DataFrame:
     return sources.withColumn("target", F.when(full | F.lit(not row["free"]), F.col("source_size") * cap).otherwise(F.col("weight") * level))
 
 
-def mix(documents: DataFrame, quality=text_quality, seed: int = SEED, share: float = SHARE, cap: float = float(MOST_EPOCHS), cycle: tuple = CYCLE) -> DataFrame:
+def mix(documents: DataFrame, quality=text_quality, seed: int = SEED, share: float = SHARE, cap: float = float(MOST_EPOCHS), cycle: tuple = CYCLE, keep: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each document the mix takes.
 
-    Returns doc_id, source, size, source_size, target, taken.
+    Returns doc_id, source, size, source_size, target, taken, and the columns to keep.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = documents.select("doc_id", "source", "text").withColumn("size", size)
+    sized = documents.select("doc_id", "source", "text", *keep).withColumn("size", size)
     key = -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce(quality(F.col("text"), F.col("size")), F.lit(1.0))
     sized = sized.withColumn("_key", key)
     docs = settle(
         sized.select(
-            "doc_id", "source", "size", "_key",
+            "doc_id", "source", "size", "_key", *keep,
             F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"),
             F.least(F.floor((1 - F.exp(-F.col("_key"))) * KEY_BUCKETS), F.lit(KEY_BUCKETS - 1)).cast("int").alias("_bucket"),
         ),
@@ -97,8 +97,8 @@ def mix(documents: DataFrame, quality=text_quality, seed: int = SEED, share: flo
 
     placed = join_checked(docs, plan, "_source", row_bytes=120, salt_by="doc_id")
     whole = placed.where(F.col("_bucket") != F.col("_cut")).withColumn("_part", F.when(F.col("_bucket") < F.col("_cut"), F.col("size")).otherwise(0))
-    in_order = Window.partitionBy("_source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.partitionBy("_source").orderBy("_key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("_budget") - F.col("_before") - F.coalesce(F.sum("size").over(in_order), F.lit(0))
     at_cut = placed.where(F.col("_bucket") == F.col("_cut")).withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), left)))
     taken = (F.col("_epochs") * F.col("size") + F.col("_part")).cast("long")
-    return whole.unionByName(at_cut).select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"))
+    return whole.unionByName(at_cut).select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"), *keep)

@@ -57,3 +57,32 @@ def test_empty(spark, tmp_path):
 def test_nothing_that_is_new_is_cut(spark):
     rows = [(i, f"document {i} is about nothing else but {i * i} and says so once", "en", "a", 0, 7, "k", 1, 2, 0.5, "h", "b") for i in range(30)]
     assert suffixdedup.cut_repeats(frame(spark, rows)).where("n_removed > 0").count() == 0
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    rows = documents()
+    unlike = [r for r in rows if r[0] is not None and r[0] < 60 and len((r[1] or "").split()) > 20]
+    bare = [(None, *r[1:]) for r in unlike]
+    docs = frame(spark, [*bare, bare[0], *[(i, f"short text {i} {i * i} {i + 7}", "en", "a", *r[4:]) for i, r in enumerate(rows[:9])]])
+    left = columns(corpus_pipeline.one_of_near_copies(spark, docs, ""))
+    assert sorted(r.text for r in left if r.doc_id is None) == sorted({r[1] for r in bare})
+
+    few = frame(spark, bare)
+    taken = Counter()
+    for r in mixing.mix(few.withColumn("t", few.text), keep=("t",)).collect():
+        taken[r.t] += r.taken
+    got = Counter()
+    for r in columns(corpus_pipeline.mixed(spark, few, "")):
+        whole = [x[1] for x in bare if x[1].startswith(r.text)]
+        assert len(whole) == 1
+        got[whole[0]] += len(re.findall(mixing.WORD, r.text))
+    assert got == Counter({k: v for k, v in taken.items() if v})
+
+
+def test_language_of_rows_that_share_an_id(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    alone = {r.text: r.lang for r in columns(corpus_pipeline.known_language(spark, docs, ""))}
+    shared = docs.union(docs.where("lang in ('en', 'fr')").selectExpr("cast(null as long)", "concat(text, ' ')", "lang", "source", "n_chars"))
+    got = [r for r in columns(corpus_pipeline.known_language(spark, shared, "")) if r.doc_id is None]
+    same = [r.lang == alone.get(r.text[:-1]) for r in got]
+    assert len({r.lang for r in got}) > 1 and sum(same) > 0.9 * len(same)
