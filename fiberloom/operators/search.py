@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations, islice
+from itertools import combinations, count, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,17 +22,20 @@ def checked(df: DataFrame, group: str, most: int = MOST_IN_GROUP) -> DataFrame:
     return df
 
 
-def greedy_cover(pairs: DataFrame, owner: str, item: str, most_rounds: int = 1000) -> DataFrame:
+def greedy_cover(pairs: DataFrame, owner: str, item: str, most_rounds: int | None = None) -> DataFrame:
     """(rank, owner, gain): the owner with most uncovered items (ties: least owner), until no one adds any.
 
+    Items left after ``most_rounds`` are an error; None is no bound, as each round covers an item at least.
     Each round is an aggregate and an anti-join on the executors; one row reaches the driver.
     """
     left = settle(pairs.select(F.col(owner).alias("owner"), F.col(item).alias("item")).distinct(), "cover")
     picked = []
-    for rank in range(1, most_rounds + 1):
+    for rank in count(1):
         best = left.groupBy("owner").agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), "owner").limit(1).collect()
         if not best:
             break
+        if most_rounds is not None and rank > most_rounds:
+            raise ValueError(f"items are left after {most_rounds} rounds")
         picked.append((rank, best[0]["owner"], best[0]["gain"]))
         left = settle(left.join(left.where(F.col("owner") == best[0]["owner"]).select("item"), "item", "left_anti").select("owner", "item"), "cover")
     kind = dict(pairs.dtypes)[owner]

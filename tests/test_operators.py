@@ -136,3 +136,10 @@ def test_covers_orders_and_batches(spark):
         search.topological(["a", "b"], {"a": {"b"}, "b": {"a"}})
     df = spark.createDataFrame([("g", 1, "x"), ("g", 2, "x"), ("g", 3, "y"), ("g", 4, "x")], "g string, i long, r string")
     assert {(r.row_id, r.batch) for r in search.first_fit(df, "g", "i", "r").collect()} == {(1, 0), (2, 1), (3, 0), (4, 2)}
+
+
+def test_greedy_cover_is_whole_or_an_error(spark):
+    df = spark.createDataFrame([(f"o{i}", i) for i in range(4)], "o string, i long")
+    assert search.greedy_cover(df, "o", "i").count() == 4
+    with pytest.raises(ValueError, match="left after 3 rounds"):
+        search.greedy_cover(df, "o", "i", most_rounds=3)
