@@ -19,9 +19,11 @@ SALTS = 16
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="fiberloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -49,8 +51,10 @@ def discard(*tables: DataFrame) -> None:
 
 
 def fits_broadcast(df: DataFrame, row_bytes: int) -> bool:
-    """Whether ``df``, counted now, is small enough to copy to every executor."""
-    return df.count() * row_bytes <= BROADCAST_BYTES
+    """Whether ``df`` is small enough to copy to every executor: ``row_bytes`` a row and what its columns of no fixed width hold, measured now."""
+    loose = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    loose += [F.coalesce(F.octet_length(F.to_json(f.name)), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("array", "map")]
+    return (df.agg(F.sum(sum(loose, F.lit(row_bytes).cast("long")))).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: str, how: str = "inner", row_bytes: int = 64, salt_by: str | None = None) -> DataFrame:
@@ -85,6 +89,20 @@ def number_rows(df: DataFrame, order: list[str], to: str, label: str = "numbered
     return numbered.join(F.broadcast(starts), "_part").withColumn(to, F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")
 
 
+def running_sum(df: DataFrame, group: str, order: list[str], value: str, to: str, label: str = "running") -> DataFrame:
+    """The sum of ``value`` over the rows of the group that come earlier in ``order`` (nulls last), without bringing a group into one task.
+
+    Sums by part and group are all that meets; equal rows come in any order.
+    """
+    parts = ordered_parts(df, [group, *order], label)
+    sums = parts.groupBy(group, "_part").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = settle(sums.select(group, "_part", before.alias("_start")).withColumn("_at", F.struct(group, "_part")).drop(group, "_part"), f"{label}-starts")
+    within = Window.partitionBy("_part", group).orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    summed = parts.withColumn("_inside", F.coalesce(F.sum(value).over(within), F.lit(0))).withColumn("_at", F.struct(group, "_part"))
+    return join_checked(summed, starts, "_at", row_bytes=120).withColumn(to, F.col("_start") + F.col("_inside")).drop("_start", "_inside", "_at", "_part")
+
+
 def next_value(df: DataFrame, key: str, to: str, label: str = "next") -> DataFrame:
     """For a table of distinct ``key`` values: the next larger one, and for the largest the smallest.
 
