@@ -4,13 +4,15 @@ Sources get water-filled word budgets.  A budget of more than a source's size ta
 first; the fraction that is left goes to documents in ascending order of an exponential key
 ``-ln(u) / quality``, prefix-summed up to the budget (the last one is cut to meet it).
 
-Only the bucket of keys that holds a source's cut is ever sorted: keys are first counted in
-KEY_BUCKETS buckets per source, so that a source with a third of all rows is summed by partial
-aggregation, and the sort sees 1/KEY_BUCKETS of it.
+Keys are first counted in KEY_BUCKETS buckets per source, so that a source with a third of all rows is
+summed by partial aggregation.  Only the bucket that holds a source's cut is put in order, however much of
+the source it holds: its rows are dealt by ranges of key over all tasks, sizes are summed by range, and each range
+is prefix-summed from there.
 
 Defined cases: null text counts as empty (size 0, nothing taken); a null source is a source of its
-own, last in order; repeated rows are separate documents; equal keys go by doc_id and size; an empty
-table gives an empty result; columns of the input other than doc_id, text and source are ignored.
+own, last in order; repeated rows are separate documents; equal keys (null doc_ids share one) go by doc_id, size
+and a number of the row's own, so that ties too are dealt over ranges; a text of any length is counted whole in one
+pass; an empty table gives an empty result; columns of the input other than doc_id, text, source and those to keep are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fiberloom.scratch import join_checked, number_rows, settle
+from fiberloom.scratch import join_checked, number_rows, running_sum, settle
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,7 +73,7 @@ def mix(documents: DataFrame, quality=text_quality, seed: int = SEED, share: flo
     sized = sized.withColumn("_key", key)
     docs = settle(
         sized.select(
-            "doc_id", "source", "size", "_key", *keep,
+            "doc_id", "source", "size", "_key", F.monotonically_increasing_id().alias("_row"), *keep,
             F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"),
             F.least(F.floor((1 - F.exp(-F.col("_key"))) * KEY_BUCKETS), F.lit(KEY_BUCKETS - 1)).cast("int").alias("_bucket"),
         ),
@@ -97,8 +99,8 @@ def mix(documents: DataFrame, quality=text_quality, seed: int = SEED, share: flo
 
     placed = join_checked(docs, plan, "_source", row_bytes=120, salt_by="doc_id")
     whole = placed.where(F.col("_bucket") != F.col("_cut")).withColumn("_part", F.when(F.col("_bucket") < F.col("_cut"), F.col("size")).otherwise(0))
-    in_order = Window.partitionBy("_source").orderBy("_key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("_budget") - F.col("_before") - F.coalesce(F.sum("size").over(in_order), F.lit(0))
-    at_cut = placed.where(F.col("_bucket") == F.col("_cut")).withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), left)))
+    at_cut = running_sum(placed.where(F.col("_bucket") == F.col("_cut")), "_source", ["_key", "doc_id", "size", "_row"], "size", "_earlier", "mix-cut")
+    left = F.col("_budget") - F.col("_before") - F.col("_earlier")
+    at_cut = at_cut.withColumn("_part", F.greatest(F.lit(0), F.least(F.col("size"), left))).drop("_earlier")
     taken = (F.col("_epochs") * F.col("size") + F.col("_part")).cast("long")
     return whole.unionByName(at_cut).select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"), *keep)

@@ -55,3 +55,28 @@ def test_empty_and_wordless(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
     only = mixing.mix(frame(spark, [(1, None, "en", "a", 0, 7, "k", 1, 2, 0.5, "h", "b")])).collect()
     assert [(r.size, r.source_size, r.target, r.taken) for r in only] == [(0, 0, 0.0, 0)]
+
+
+def test_a_source_of_one_bucket_and_of_null_ids_is_dealt_over_ranges(spark):
+    """Texts of one long word fall into the last bucket of keys; rows without an id all have one key."""
+    long = [(i, "x" * (40_000 + i) + " y" * (i % 3), "en", "a", 0, 7, "k", 1, 2, 0.5, "h", "b") for i in range(200)]
+    bare = [(None, "w " * (1 + i % 4), "en", "b", 0, 7, "k", 1, 2, 0.5, "h", "b") for i in range(200)]
+    docs = frame(spark, long + bare)
+    got = mixing.mix(docs).toPandas()
+    assert len(got) == 400 and (got.taken <= 2 * got["size"]).all()
+    for _, own in got.groupby("source"):
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= 1
+        whole = own.target.iloc[0] // own.source_size.iloc[0] * own["size"]
+        assert ((own.taken > whole) & (own.taken < whole + own["size"])).sum() <= 1
+
+
+def test_running_sums_of_a_hot_group(spark):
+    from fiberloom.scratch import running_sum
+
+    rows = [("hot" if i % 7 else "cold", i * 37 % 101, i) for i in range(400)]
+    got = running_sum(spark.createDataFrame(rows, "g string, k long, n long"), "g", ["k", "n"], "n", "before").collect()
+    by = defaultdict(list)
+    for g, k, n in sorted(rows, key=lambda r: r[1:]):
+        by[g].append(n)
+    assert len(got) == len(rows)
+    assert all(r.before == sum(by[r.g][: by[r.g].index(r.n)]) for r in got)
