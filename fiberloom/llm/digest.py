@@ -5,12 +5,15 @@ holds a checksum byte, the logarithm of the length, the ratios of the three quar
 bucket the quartile its count lies in, two bits each, as hexadecimal text.  Two digests are compared by
 a difference score with a bound, mapped to a likeness from 1 (equal) down to 0.
 
-Texts move in one exchange, dealt by ranges of doc_id; each range is then read in order beside its successor.
+Texts move in one exchange, dealt by ranges of doc_id and, within one, of the text's first characters; each range
+is then read in order.  What a range cannot end by itself (the rows of its last id, and more rows of one id than
+WAITING_BYTES) is set down beside the first texts of ranges and meets its successor in a join; nothing of it reaches the driver.
 
 Defined cases: null text is empty text, whose digest is all zeros; texts under three bytes have empty
 counters; the next document of a doc_id is the least larger one (the first for the last; itself when
-alone); where rows share a doc_id each is fingerprinted, and the least text among them is their successor's
-view of that id (in order of bytes); a null doc_id counts as an id before all others; an empty table gives an empty result.
+alone); where rows share a doc_id each is fingerprinted, and the least text among them is their predecessor's
+view of that id (in order of bytes); a null doc_id (or -2**63) counts as an id before all others; a text of any length
+is read whole; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -20,20 +23,24 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiberloom.llm.batches import bounded, tidy
+from fiberloom.scratch import join_checked, settle
 
 BUCKETS = 128
 #: Of a difference: weights of a quartile step, the length's and the ratios' share, and the bound.
 STEP_COST, FAR_COST, LENGTH_COST, RATIO_COST, BOUND = 1, 6, 2, 1, 300
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 BLOCK = 1 << 20
-#: Bytes of text in a range of ids, about.
-RANGE_BYTES = 16 << 20
+#: Bytes of text in a range of ids, about, and the most ranges (beyond that they grow; a range is streamed, not held).
+RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 16
+#: Bytes of texts of one id that wait for their successor in a worker.
+WAITING_BYTES = 8 << 20
+#: Characters of a text by which rows of one id are dealt.
+DEALT_CHARS = 16
 
 
 def triplet_counts(data: np.ndarray) -> np.ndarray:
@@ -84,67 +91,96 @@ def likeness(left: str, right: str) -> float:
     return 1.0 - difference(left, right) / BOUND
 
 
-def range_starts(ids: DataFrame, ranges: int) -> np.ndarray:
-    """The first ids of up to ``ranges`` ranges with about as many rows each; the first is the least id."""
-    row = ids.agg(F.min("_id").alias("low"), F.percentile_approx("_id", [i / ranges for i in range(1, ranges)] or [0.5], max(10_000, 10 * ranges)).alias("cuts")).first()
-    return np.unique(np.array([row["low"], *(row["cuts"] or [])] if row["low"] is not None else [], dtype=np.int64))
+DONE, WAITING, HEAD = 0, 1, 2
+FIELDS = (("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()))
+NAMES = [n for n, _ in FIELDS]
+ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def edited_fingerprints(documents: DataFrame) -> DataFrame:
-    """Each document's fingerprint, that of its edit with its successor, and how alike they are.
+def beside(doc_id: int, whole: str, mine: str, head: str, head_print: str) -> tuple:
+    """A row of FIELDS for a text and its successor's, with their fingerprints."""
+    n, cut = len(whole), len(whole) // 4
+    edited = (whole[: n - cut] + head[:cut]).encode()
+    theirs = fingerprint(edited)
+    return doc_id, n, hashlib.sha256(edited).hexdigest(), mine, theirs, likeness(mine, theirs), likeness(mine, head_print)
 
-    Texts are dealt once by ranges of doc_id; the first document of a range is also lent to the range
-    before it, and every range is then read in order.  Only the ranges' first ids reach the driver.
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
-    """
-    spark = documents.sparkSession
-    low = F.lit(-(1 << 63)).cast("long")
-    text = documents.select(F.coalesce(F.col("doc_id").cast("long"), low).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    starts = range_starts(text, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
-    last = max(len(starts) - 1, 0)
+def arrow(rows: list[tuple], more: tuple = ()) -> pa.RecordBatch:
+    fields = (*FIELDS, *more)
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
-    @F.pandas_udf("long")
-    def place(ids: pd.Series) -> pd.Series:
-        """Twice the range's number, and one more for the first id of a range."""
-        at = np.searchsorted(starts, ids.to_numpy(), side="right") - 1
-        return pd.Series(2 * at + (starts[at] == ids.to_numpy()))
 
-    own = F.floor(F.col("_place") / 2)
-    before = F.when(own == 0, F.lit(last)).otherwise(own - 1)
-    spots = F.when(F.col("_place") % 2 == 1, F.array(F.struct(own.alias("r"), F.lit(0).alias("lent")), F.struct(before.alias("r"), F.lit(1).alias("lent")))).otherwise(F.array(F.struct(own.alias("r"), F.lit(0).alias("lent"))))
-    dealt = text.withColumn("_place", place("_id")).select(F.explode(spots).alias("_spot"), "_id", "text").select("_spot.r", "_spot.lent", "_id", "text")
-    dealt = dealt.repartition("r").sortWithinPartitions("r", "lent", "_id", "text")
+def read_ranges(dealt: DataFrame) -> DataFrame:
+    """FIELDS, kind and text for ranges in order of (_id, text): DONE rows, rows WAITING for a successor, and HEAD rows.
+
+    HEAD rows are the least text of each range's first two ids, and of an id that follows rows set down as WAITING;
+    so the successor of a waiting row is the least HEAD with a larger id.
+    """
+    most = WAITING_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        waiting: list[tuple[int, str, str]] = []  # rows of the id before, with their fingerprints
-        here, current = None, None
-
-        def close(head: str, head_print: str) -> None:
-            for doc_id, whole, mine in waiting:
-                n, cut = len(whole), len(whole) // 4
-                edited = (whole[: n - cut] + head[:cut]).encode()
-                theirs = fingerprint(edited)
-                rows.append((doc_id, n, hashlib.sha256(edited).hexdigest(), mine, theirs, likeness(mine, theirs), likeness(mine, head_print)))
+        waiting: list[tuple[int, str, str]] = []  # rows of the id at hand, with their fingerprints
+        current, nth, size, set_down = None, -1, 0, False
+
+        def down() -> None:
+            rows.extend((i, len(t), None, f, None, None, None, WAITING, t) for i, t, f in waiting)
             waiting.clear()
 
         for batch in batches:
-            for r, lent, doc_id, value in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 whole = value.as_py()
-                if r != here:
-                    here, current, waiting = r, None, []
                 mine = fingerprint(whole.encode())
-                if (lent, doc_id) != current:
-                    close(whole, mine)
-                    current = (lent, doc_id)
-                if not lent:
-                    waiting.append((doc_id, whole, mine))
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                if doc_id != current:
+                    rows.extend((*beside(*w, whole, mine), DONE, None) for w in waiting)
+                    nth += 1
+                    if nth < 2 or set_down:
+                        rows.append((doc_id, len(whole), None, mine, None, None, None, HEAD, whole))
+                    waiting.clear()
+                    current, size, set_down = doc_id, 0, False
+                waiting.append((doc_id, whole, mine))
+                size += len(whole)
+                if size > most:
+                    down()
+                    size, set_down = 0, True
+            yield arrow(rows, (("kind", pa.int32()), ("text", pa.string())))
             rows.clear()
+        down()
+        yield arrow(rows, (("kind", pa.int32()), ("text", pa.string())))
+
+    return bounded(dealt).mapInArrow(tidy(run), f"{ROW}, kind int, text string")
+
+
+def met(waiting: DataFrame, heads: DataFrame) -> DataFrame:
+    """FIELDS of waiting rows beside their successors."""
+    least = settle(heads.groupBy("doc_id").agg(F.min(F.struct("text", "fingerprint")).alias("_h")).select(F.col("doc_id").alias("_next"), F.col("_h.text").alias("_head"), F.col("_h.fingerprint").alias("_print")), "digest-heads")
+    ids = waiting.select("doc_id", F.lit(None).cast("long").alias("_head")).unionByName(least.select(F.col("_next").alias("doc_id"), F.col("_next").alias("_head")))
+    ids = ids.groupBy("doc_id").agg(F.max("_head").alias("_head"))  # some rows a range
+    later = Window.orderBy(F.col("doc_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    follow = ids.withColumn("_next", F.last("_head", ignorenulls=True).over(later)).crossJoin(F.broadcast(least.agg(F.min("_next").alias("_first"))))  # one row
+    follow = settle(follow.select("doc_id", F.coalesce("_next", "_first").alias("_next")), "digest-follow")
+    placed = join_checked(waiting.select("doc_id", "text", "fingerprint"), follow, "doc_id", row_bytes=32, salt_by="text")
+    pairs = join_checked(placed, least, "_next", row_bytes=220, salt_by="text").select("doc_id", "text", "fingerprint", "_head", "_print")
 
-    out = bounded(dealt).mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield arrow([beside(*(v.as_py() for v in row)) for row in zip(*batch.columns, strict=True)])
+
+    return bounded(pairs).mapInArrow(tidy(run), ROW)
+
+
+def edited_fingerprints(documents: DataFrame) -> DataFrame:
+    """Each document's fingerprint, that of its edit with its successor, and how alike they are.
+
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """
+    low = F.lit(-(1 << 63)).cast("long")
+    text = documents.select(F.coalesce(F.col("doc_id").cast("long"), low).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(MOST_RANGES, max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
+    dealt = text.repartitionByRange(ranges, "_id", F.substring("text", 1, DEALT_CHARS)).sortWithinPartitions("_id", "text")
+    read = settle(read_ranges(dealt), "digest-ranges")
+    kind = lambda k: read.where(F.col("kind") == k)
+    out = kind(DONE).select(*NAMES).unionByName(met(kind(WAITING), kind(HEAD)))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != low, F.col("doc_id")))

@@ -59,3 +59,24 @@ def test_empty_and_alone(spark):
     assert digest.edited_fingerprints(frame(spark, [])).count() == 0
     (r,) = digest.edited_fingerprints(frame(spark, [(4, "abcdefgh", "en", "a", 0, 7, "k", 1, 2, 0.5, "h", "b")])).collect()
     assert r.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and r.near_next == 1
+
+
+def test_rows_of_one_id_are_set_down_when_they_are_many(spark, monkeypatch):
+    """A third without an id and many under one, more than a worker keeps, over several ranges."""
+    monkeypatch.setattr(digest, "WAITING_BYTES", 300)
+    rnd = random.Random(5)
+    rows = [(rnd.choice((None, None, 7, i)), text(rnd, rnd.choice((0, 2, 9, 40)))) for i in range(150)]
+    heads = {}
+    for i, t in rows:
+        heads[i] = min(heads.get(i, t), t, key=lambda x: x.encode())
+    order = sorted(heads, key=lambda i: (i is not None, i or 0))
+    follow = dict(zip(order, order[1:] + order[:1], strict=True))
+    want = []
+    for i, t in rows:
+        head = heads[follow[i]]
+        edited = (t[: len(t) - len(t) // 4] + head[: len(t) // 4]).encode()
+        x, y, z = (digest.fingerprint(b) for b in (t.encode(), edited, head.encode()))
+        want.append((-1 if i is None else i, len(t), hashlib.sha256(edited).hexdigest(), x, y, digest.likeness(x, y), digest.likeness(x, z)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in digest.edited_fingerprints(docs).collect()]
+    assert sorted(got) == sorted(want)
