@@ -16,8 +16,9 @@ Equal documents are counted by partial aggregation and never paired; a hot pivot
 that adaptive execution splits.  Shingle sets are built only for candidates.
 
 Defined cases: a document of one to four words has one shingle, all of it; a null text or one without words
-is a class of its own; ties and repeated rows fall into one class; a class is named by its least doc_id (two
-classes that hold rows of one doc_id may share a name); a null doc_id takes part but names a class only if all its ids are null; an empty table gives an empty result.
+is a class of its own; ties and repeated rows fall into one class; class_id is the least doc_id of a class (null
+if all its ids are, and the same for two classes that hold rows of one doc_id), class_key is its own name, which no other class has;
+a text of any length is taken whole; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -155,21 +156,26 @@ def content_keys(doc: np.ndarray, element: np.ndarray, number: np.ndarray, docs:
 
 
 def sign(documents: DataFrame) -> DataFrame:
-    """doc_id, key (of the weighted set; null without words) and the band keys."""
+    """doc_id, at (of id and text), key (of the weighted set; null without words) and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
             keys, bands = [], []
-            for _, texts in groups(batch.column(1)):
+            for _, texts in groups(batch.column(2)):
                 doc, element, number = shingle_sets(texts, words)
                 keys += content_keys(doc, element, number, len(texts))
                 bands.append(band_keys(signatures(doc, element, weights(number), len(texts))))
             flat = np.concatenate(bands).reshape(-1) if bands else np.zeros(0, dtype=np.int64)
             offsets = np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "at", "key", "bands"])
 
-    return bounded(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, key binary, bands array<long>")
+    return bounded(documents).select(F.col("doc_id").cast("long"), row_mark().alias("at"), "text").mapInArrow(tidy(run), "doc_id long, at long, key binary, bands array<long>")
+
+
+def row_mark() -> Column:
+    """A hash of a row's id and text, by which its text is found again."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
 def weighted_sets(documents: DataFrame) -> DataFrame:
@@ -208,9 +214,9 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def candidate_sets(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Weighted sets of the nodes in ``pairs``, from the text of one document each."""
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = settle(nodes.select("key", "rep").join(keys, "key").select(F.coalesce("rep", F.lit(-(1 << 63))).alias("_id")).distinct(), "near-ids")
-    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), "text")
-    return settle(weighted_sets(join_checked(texts, ids, "_id", row_bytes=16)).join(keys, "key", "left_semi").dropDuplicates(["key"]), "near-sets")
+    ids = settle(nodes.select("key", "at").join(keys, "key").select("at").distinct(), "near-ids")
+    texts = documents.select(row_mark().alias("at"), "text")
+    return settle(weighted_sets(join_checked(texts, ids, "at", row_bytes=48, salt_by="text")).join(keys, "key", "left_semi").dropDuplicates(["key"]), "near-sets")
 
 
 def apart_in_bands(met: DataFrame, parts: DataFrame) -> DataFrame:
@@ -339,9 +345,9 @@ def pairs_by_prefix(nodes: DataFrame, sets: DataFrame, apart: DataFrame, similar
 
 
 def near_classes(documents: DataFrame, similarity: float = SIMILARITY, turns: int = TURNS) -> DataFrame:
-    """doc_id, class_id and class_size (documents in the class) for every document."""
+    """doc_id, class_id, class_size (documents in the class) and class_key for every document."""
     docs = settle(sign(documents), "near-signed")
-    nodes = settle(docs.where("key is not null").groupBy("key", "bands").agg(F.min("doc_id").alias("rep")), "near-nodes")
+    nodes = settle(docs.where("key is not null").groupBy("key", "bands").agg(F.min("doc_id").alias("rep"), F.min_by("at", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("at")), "near-nodes")
     banded = settle(nodes.select("key", F.posexplode("bands").alias("_i", "_band")), "near-bands")
     pivots = banded.groupBy("_i", "_band").agg(F.min("key").alias("pivot"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     met = settle(banded.join(pivots, ["_i", "_band"]), "near-met")
@@ -366,7 +372,9 @@ def near_classes(documents: DataFrame, similarity: float = SIMILARITY, turns: in
     named = known.groupBy("component").agg(F.min("rep").alias("class_id"))
     classes = settle(known.join(named, "component").select("key", "component", "class_id"), "near-classes")
     sizes = docs.where("key is not null").groupBy("key").agg(F.count("*").alias("_n"))
-    sized = settle(classes.join(sizes, "key").groupBy("component").agg(F.sum("_n").alias("class_size")).join(classes, "component").select("key", "class_id", "class_size"), "near-sized")
-    out = docs.where("key is not null").select("doc_id", "key").join(sized, "key").select("doc_id", "class_id", "class_size")
-    alone = docs.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    sized = classes.join(sizes, "key").groupBy("component").agg(F.sum("_n").alias("class_size")).join(classes, "component")
+    sized = settle(sized.select("key", "class_id", "class_size", F.lower(F.hex("component")).alias("class_key")), "near-sized")
+    out = docs.where("key is not null").select("doc_id", "key").join(sized, "key").select("doc_id", "class_id", "class_size", "class_key")
+    row = F.concat(F.lit("row-"), F.monotonically_increasing_id().cast("string"))
+    alone = docs.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), row.alias("class_key"))
     return out.unionByName(alone)

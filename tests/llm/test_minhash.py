@@ -120,3 +120,15 @@ def test_what_stays_apart_is_compared_in_full(spark):
     rows = small(rows)
     out, by = found(minhash.near_classes(frame(spark, rows), turns=0))
     assert sorted(sorted(v) for v in by.values()) == classes(rows)
+
+
+def test_class_keys_tell_classes_apart_that_share_an_id(spark):
+    """All rows, with unlike texts under one id and without any."""
+    rows = documents() + small([(None, "a text without an id, of its own words"), (None, "another one, quite unlike the first of them"), (None, None), (None, "")])
+    got = minhash.near_classes(frame(spark, rows)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.class_key, []).append(-1 if r.doc_id is None else r.doc_id)
+    assert all(r.class_size == len(by[r.class_key]) for r in got)
+    wordless = [[-1 if r[0] is None else r[0]] for r in rows if not shingles(r[1])]
+    assert sorted(sorted(v) for v in by.values()) == sorted(classes([r for r in rows if shingles(r[1])]) + wordless)
