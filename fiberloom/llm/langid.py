@@ -32,7 +32,7 @@ FIT_PER_LANG = 300
 LANDMARKS_PER_LANG = 40
 RIDGE = 0.1
 #: Buckets that share out the choice of the sample of a frequent language.
-CHOICE_BUCKETS = 64
+CHOICE_BUCKETS = 8
 NOT_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
 BLOCK_ROWS, BLOCK_BYTES = 64, 1 << 20
 GRAMS = 256 + (1 << 16) + (1 << 24)
