@@ -1,8 +1,15 @@
 """From documents to packed windows: stages over a table of documents, each written and read again by the next.
 
 Stages take (spark, docs, sf_dir) and return the columns of documents (doc_id, text, lang, source, n_chars), the last
-one the packed pieces.  Within the pipeline a doc_id names a document: rows that share one count as one document
-when copies are taken out, and a mix takes each of them alike.  A row without a doc_id is a document of its own.
+one the packed pieces.
+
+A row without a doc_id is a document of its own.  The first stage sees to it that a doc_id names one text: of unlike texts under
+one doc_id, the one with the least hash keeps it and the others go on without.  So nothing is lost to a shared name in
+run().  A later stage given such rows by itself takes a doc_id as the name of a document: near-dedup then keeps one row of it (the
+one with the least hash), and a mix takes each of them alike.
+
+In all stages: null text is empty text (the first stage drops it, as it drops what has no letter); repeated rows are copies;
+texts of any length are taken whole; an empty table gives an empty one; columns beyond those of documents are ignored.
 """
 
 from __future__ import annotations
@@ -39,14 +46,24 @@ def _named(docs: DataFrame) -> DataFrame:
     raise ValueError(f"no free range of {span} numbers among the doc_ids for the {ends['n']} rows without one")
 
 
+def _one_text_an_id(docs: DataFrame) -> DataFrame:
+    """``docs`` with doc_id null where another text under it has a lesser hash; hashes are counted by id, and only ids with several join."""
+    seen = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_keeps"), F.max(F.xxhash64("text")).alias("_last"))
+    several = settle(seen.where("_keeps <> _last").select("doc_id", "_keeps"), "pipeline-shared")
+    if several.isEmpty():
+        return docs
+    told = join_checked(docs.select(*COLUMNS), several, "doc_id", "left", row_bytes=48, salt_by="text")
+    return told.withColumn("doc_id", F.when(F.coalesce(F.xxhash64("text") == F.col("_keeps"), F.lit(True)), F.col("doc_id"))).select(*COLUMNS)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Set lang to the predicted language; documents without letters or in no learned language go.
 
     Predictions depend on the text alone, and come back by its hash.
     """
-    model = langid.train(docs)
+    model, docs = langid.train(docs), _one_text_an_id(docs.select(*COLUMNS))
     if not model.langs:
-        return docs.select(*COLUMNS)
+        return docs
     of_text = F.xxhash64("text")
     told = langid.predict(docs.select(of_text.alias("doc_id"), "text"), model).withColumnRenamed("doc_id", "_id")
     told = told.groupBy("_id").agg(F.max_by("lang_pred", "score").alias("_lang"), F.max("score").alias("_score"))
@@ -56,14 +73,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each class of near copies stays, or any one if none has a doc_id."""
+    """The document with the least doc_id of each class of near copies stays; rows without one come after those with one."""
     named = _named(docs.select(*COLUMNS))
     classes = minhash.near_classes(named.select(F.col("_id").alias("doc_id"), "text"))
     stay = classes.where(F.col("doc_id") == F.col("class_id")).withColumnRenamed("doc_id", "_id")
     stay = settle(stay.groupBy("_id").agg(F.count("*").alias("_rows")), "pipeline-stay")
     found = join_checked(named, stay, "_id", row_bytes=24)
-    once = found.where("_rows = 1").unionByName(found.where("_rows > 1").dropDuplicates(["_id"]))
-    return once.select(*COLUMNS)
+    first = found.where("_rows > 1").groupBy("_id").agg(F.min_by(F.struct(*COLUMNS), F.xxhash64("text", "lang", "source", "n_chars")).alias("_r")).select("_r.*")
+    return found.where("_rows = 1").select(*COLUMNS).unionByName(first)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
