@@ -86,3 +86,17 @@ def test_language_of_rows_that_share_an_id(spark):
     got = [r for r in columns(corpus_pipeline.known_language(spark, shared, "")) if r.doc_id is None]
     same = [r.lang == alone.get(r.text[:-1]) for r in got]
     assert len({r.lang for r in got}) > 1 and sum(same) > 0.9 * len(same)
+
+
+def test_unlike_texts_under_one_id_all_come_through(spark, tmp_path):
+    """Wholly different texts, two without an id and two under 7, beside copies of each."""
+    rnd = __import__("random").Random(3)
+    words = lambda: " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(3, 8))) for _ in range(40))
+    rows = [(i, words(), "en", "a") for i in (None, None, 7, 7, 8)]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in [*rows, *rows]], "doc_id long, text string, lang string, source string, n_chars long")
+    known = corpus_pipeline.known_language(spark, docs, "")
+    left = columns(corpus_pipeline.one_of_near_copies(spark, known, ""))
+    assert sorted(r.text for r in left) == sorted(r[1] for r in rows)
+    assert sorted(str(r.doc_id) for r in left) == ["7", "8", "None", "None", "None"]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).selectExpr("sum(length)").first()[0] >= 5 * 40
