@@ -15,9 +15,13 @@ Texts are dealt once into chunks, and that exchange is read again for each pass.
 repeat inside them, so what a very common passage sends to one bucket is a run a chunk; unlike runs around a common q-gram
 are refiled under different neighbours.  What passes between chunks and buckets is packed arrays.
 
-Defined cases: null text is empty text; texts shorter than ``length`` lose nothing; rows with one doc_id are
-ordered by text (equal rows: one of them keeps all); a null doc_id comes before all others; an empty
-table gives an empty result; columns named in ``keep`` are carried along, others ignored.
+Rows that share a doc_id (or have none) are numbered in order of their texts over ranges, and dealt into chunks by id and
+number, so that a third of all rows without an id is shared out like any other.
+
+Defined cases: null text is empty text; texts shorter than ``length`` lose nothing; a text of any length is taken whole; rows with
+one doc_id are ordered by text (equal rows: one of them keeps all); a null doc_id comes before all others; an empty
+table gives an empty result; columns named in ``keep`` are carried along (with ``_kept`` behind the name where a result has it
+too), others ignored.
 """
 
 from __future__ import annotations
@@ -28,16 +32,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiberloom.llm.batches import bounded
+from fiberloom.scratch import join_checked, ordered_parts, settle
 
 LENGTH = 100
 GRAM = 32
 CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
 PLACE_BITS = 18
 BLOCK = (1 << PLACE_BITS) - 1
+#: The result's own columns; characters of a text by which rows of one id are dealt over ranges; bits of a place in a text.
+RESULT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text")
+DEALT_CHARS, TEXT_BITS = 16, 31
 U = np.uint64
 
 
@@ -123,13 +131,13 @@ class Chunk:
     def __init__(self, table: pa.Table, length: int, gram: int):
         ids = table.column("_id").to_numpy()
         texts = [(x.as_py() or "").encode() for x in table.column("text")]
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-        self.ids = ids[self.order].astype(np.int64)
+        numbers = table.column("_nth").to_numpy() if "_nth" in table.column_names else np.zeros(len(ids), dtype=np.int64)
+        self.order = sorted(range(len(ids)), key=lambda i: (ids[i], numbers[i], texts[i]))
+        self.ids, numbers = ids[self.order].astype(np.int64), numbers[self.order].astype(np.int64)
         texts = [texts[i] for i in self.order]
         sizes = np.array([len(x) for x in texts], dtype=np.int64)
         self.starts = np.r_[0, np.cumsum(sizes)].astype(np.int64)
         self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        nth = np.arange(len(ids)) - np.maximum.accumulate(np.where(np.r_[True, self.ids[1:] != self.ids[:-1]], np.arange(len(ids)), 0)) if len(ids) else np.zeros(0, dtype=np.int64)
         valid = np.zeros(len(self.data) + 1, dtype=np.int32)
         np.add.at(valid, self.starts[:-1], (sizes >= length).astype(np.int32))
         np.add.at(valid, self.starts[1:] - np.minimum(sizes, length - 1), -(sizes >= length).astype(np.int32))
@@ -147,7 +155,7 @@ class Chunk:
         self.runs = Runs(*(get(n, np.int64) for n in ("first", "last", "gram")), *(get(n, U) for n in ("key", "whole", "left", "right")))
         doc = np.searchsorted(self.starts, self.runs.first, side="right") - 1
         self.doc = self.ids[doc] if len(doc) else np.zeros(0, dtype=np.int64)
-        self.place = self.runs.first - self.starts[doc] + (nth[doc] << 40) if len(doc) else np.zeros(0, dtype=np.int64)
+        self.place = self.runs.first - self.starts[doc] + (numbers[doc] << TEXT_BITS) if len(doc) else np.zeros(0, dtype=np.int64)
         # runs are in order of (document, place), so a stable sort leaves the first of equal runs first
         sort = np.lexsort((self.runs.whole, self.runs.key))
         same = np.r_[False, (self.runs.key[sort][1:] == self.runs.key[sort][:-1]) & (self.runs.whole[sort][1:] == self.runs.whole[sort][:-1])] if len(sort) else np.zeros(0, dtype=bool)
@@ -346,6 +354,20 @@ def judge_bytes(table: pa.Table, length: int) -> pa.Table:
     return rows(REPLY, made)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows (_id, text, ...) with ``_nth``: 0 for an id of one row, else the row's number, in order of text, among all rows of such ids."""
+    several = settle(rows.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select("_id"), "repeats-shared")
+    if several.isEmpty():
+        return rows.withColumn("_nth", F.lit(0).cast("long"))
+    told = join_checked(rows, several.withColumn("_shared", F.lit(True)), "_id", "left", row_bytes=24, salt_by="text")
+    parts = ordered_parts(told.where("_shared").drop("_shared").withColumn("_start", F.substring("text", 1, DEALT_CHARS)), ["_id", "_start"], "repeats-parts")
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = settle(counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")), "repeats-before")  # a row a part
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_id", "text"))
+    shared = parts.withColumn("_inside", inside).join(F.broadcast(before), "_part").withColumn("_nth", F.col("_before") + F.col("_inside"))
+    return told.where("_shared is null").drop("_shared").withColumn("_nth", F.lit(0).cast("long")).unionByName(settle(shared.select(*rows.columns, "_nth"), "repeats-numbered"))
+
+
 def cut_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """doc_id, the kept columns, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end), and the text that is left if asked for.
 
@@ -356,21 +378,22 @@ def cut_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, ke
     sized = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks, buckets = max(parts, -(-sized // CHUNK_BYTES)), max(parts, -(-sized // BUCKET_BYTES))
-    dealt = documents.select(F.coalesce(F.col("doc_id").cast("long"), low).alias("_id"), "text", *keep).withColumn("chunk", F.pmod(F.xxhash64("_id"), F.lit(chunks)))
+    carried = [(c, f"_k{i}", c + "_kept" if c in RESULT else c) for i, c in enumerate(keep)]
+    dealt = numbered(documents.select(F.coalesce(F.col("doc_id").cast("long"), low).alias("_id"), "text", *[F.col(c).alias(k) for c, k, _ in carried]))
+    dealt = dealt.withColumn("_chunk", F.pmod(F.xxhash64("_id", "_nth"), F.lit(chunks)))
 
     def send(table: pa.Table) -> pa.Table:
-        own, number = Chunk(table, length, gram), table.column("chunk")[0].as_py()
+        own, number = Chunk(table, length, gram), table.column("_chunk")[0].as_py()
         return rows(SENT, [(b, number, planes(own.runs.key[at], own.runs.whole[at], own.doc[at], own.place[at])) for b, at in own.by_bucket(buckets)])
 
     def send_bytes(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not replies.num_rows or not table.num_rows:
             return rows(SENT, [])
-        own, number = Chunk(table, length, gram), table.column("chunk")[0].as_py()
+        own, number = Chunk(table, length, gram), table.column("_chunk")[0].as_py()
         return rows(SENT, list(unlike_runs(own, marked(own, replies, buckets)[1], number, buckets, length, gram)))
 
-    rest = documents.select(*keep).schema
     text = ", kept_text string" if with_text else ""
-    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rest)
+    kept = "".join(f", {k} {documents.schema[c].dataType.simpleString()}" for c, k, _ in carried)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         own = Chunk(table, length, gram)
@@ -389,14 +412,15 @@ def cut_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, ke
             for column, x in zip(out, (b - a, int(cut.sum()), len(edges) // 2, hashlib.sha256(left).hexdigest(), edges.tolist(), left.decode(errors="ignore") if with_text else None), strict=True):
                 column.append(x)
         ids = pa.array([None if x == -(1 << 63) else x for x in own.ids.tolist()], pa.int64())
-        columns = {"doc_id": ids} | {f.name: table.column(f.name).take(pa.array(own.order, pa.int64())) for f in rest}
+        columns = {"doc_id": ids} | {k: table.column(k).take(pa.array(own.order, pa.int64())) for _, k, _ in carried}
         columns |= dict(zip(("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"), (pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())), strict=False)), strict=True))
         return pa.table(columns | ({"kept_text": pa.array(out[5], pa.string())} if with_text else {}))
 
     sent = "bucket long, chunk long, blob binary"
     reply = "chunk long, bucket long, blob binary"
-    judged = dealt.groupBy("chunk").applyInArrow(send, sent).groupBy("bucket").applyInArrow(judge_bucket, reply)
-    unlike = dealt.groupBy("chunk").cogroup(judged.groupBy("chunk")).applyInArrow(send_bytes, sent)
+    judged = dealt.groupBy("_chunk").applyInArrow(send, sent).groupBy("bucket").applyInArrow(judge_bucket, reply)
+    unlike = dealt.groupBy("_chunk").cogroup(judged.groupBy("chunk")).applyInArrow(send_bytes, sent)
     compared = unlike.groupBy("bucket").applyInArrow(lambda table: judge_bytes(table, length), reply)
     told = judged.unionByName(compared)
-    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, f"doc_id long{kept}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>{text}")
+    cut = dealt.groupBy("_chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, f"doc_id long{kept}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>{text}")
+    return cut.withColumnsRenamed({k: name for _, k, name in carried})

@@ -91,3 +91,19 @@ def test_long_documents_are_taken_in_steps(monkeypatch):
 
 def test_empty(spark):
     assert sd.cut_repeats(frame(spark, [])).count() == 0
+
+
+def test_rows_that_share_an_id_are_dealt_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(sd, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(sd, "BUCKET_BYTES", 700)
+    rows = [(None if i % 3 == 0 else 5 if i % 7 == 0 else i, *r[1:]) for i, r in enumerate(tangled(4))]
+    got = sd.numbered(frame(spark, rows).selectExpr("coalesce(doc_id, -1) _id", "text")).collect()
+    order = [r for r in sorted(got, key=lambda r: r._nth) if r._nth]
+    assert [(r._id, r.text.encode()) for r in order] == sorted((-1 if r[0] is None else 5, r[1].encode()) for r in rows if r[0] in (None, 5))
+    assert found(sd.cut_repeats(frame(spark, rows))) == brute(rows)
+
+
+def test_kept_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", 70, 80), (2, "b", 71, 81)], "doc_id long, text string, chunk long, n_bytes long")
+    got = {r.doc_id: r for r in sd.cut_repeats(docs, keep=("chunk", "n_bytes")).collect()}
+    assert [(got[i].chunk, got[i].n_bytes_kept, got[i].n_bytes) for i in (1, 2)] == [(70, 80, 1), (71, 81, 1)]
