@@ -5,10 +5,12 @@ by place).  Matches never cross documents.
 
 Suffixes are first put into buckets by the hash of a q-gram: each string is filed under one q-gram inside it,
 the one with the least hash (the leftmost on ties), so equal strings share bucket and place in it, and one place
-files a run of neighbouring strings.  A bucket is settled at once where whole runs are equal by hash: the first
-stays and the others are repeats.  Only buckets with unlike runs need bytes: their runs are refiled by the bytes
+files a run of neighbouring strings.  Each bucket is refined by sorting on the identifiers (64-bit hashes) of what lies at
+later offsets, behind the q-gram and then round to what lies before it; only buckets with several runs are sorted on, by
+their updated pointers.  Of runs that end in one bucket the first stays and the others are repeats.  Runs of a q-gram's
+bucket that end in several can still share strings; those need bytes: they are refiled by the bytes
 next to the q-gram and sorted as suffixes by bucket-pointer refinement, to the depth of ``length`` bytes: initial
-buckets of eight bytes, refined by the bucket pointers of the suffixes one depth further on, whose updates serve
+buckets of seven bytes, refined by the bucket pointers of the suffixes one depth further on, whose updates serve
 the next, doubled depth; buckets with one suffix are left alone.
 
 Texts are dealt once into chunks, and that exchange is read again for each pass.  Chunks first drop runs that
@@ -105,7 +107,8 @@ class Runs:
     last: np.ndarray
     gram: np.ndarray
     key: np.ndarray
-    whole: np.ndarray
+    before: np.ndarray
+    behind: np.ndarray
     left: np.ndarray
     right: np.ndarray
 
@@ -120,9 +123,10 @@ def block_runs(data: np.ndarray, valid: np.ndarray, length: int, gram: int) -> R
     edge = np.flatnonzero(np.r_[True, (under[1:] != under[:-1]) | (starts[1:] != starts[:-1] + 1)]) if len(starts) else np.zeros(0, dtype=np.int64)
     first, last, at = starts[edge], starts[np.r_[edge[1:] - 1, len(starts) - 1].astype(np.int64)] if len(edge) else starts[:0], under[edge]
     shape = ((at - first).astype(U) << U(32)) | (last - first).astype(U)
-    whole = mixed(hashes.at(first, last + length) + shape * U(0x9E3779B97F4A7C15))
+    before = mixed(hashes.at(first, at) + shape * U(0x9E3779B97F4A7C15))
+    behind = hashes.at(np.minimum(at + gram, last + length), last + length)
     half = (length - gram) // 2
-    return Runs(first, last, at, grams[at], whole, hashes.at(np.maximum(at - half, 0), at), hashes.at(at + gram, np.minimum(at + gram + half, len(data))))
+    return Runs(first, last, at, grams[at], before, behind, hashes.at(np.maximum(at - half, 0), at), hashes.at(at + gram, np.minimum(at + gram + half, len(data))))
 
 
 class Chunk:
@@ -150,15 +154,16 @@ class Chunk:
                 own[: hi - lo] = valid[lo:hi]
                 own[len(window) - length + 1 :] = False
                 r = block_runs(window, own, length, gram)
-                parts.append(Runs(r.first + lo, r.last + lo, r.gram + lo, r.key, r.whole, r.left, r.right))
+                parts.append(Runs(r.first + lo, r.last + lo, r.gram + lo, r.key, r.before, r.behind, r.left, r.right))
         get = lambda name, kind: np.concatenate([getattr(p, name) for p in parts]) if parts else np.zeros(0, dtype=kind)
-        self.runs = Runs(*(get(n, np.int64) for n in ("first", "last", "gram")), *(get(n, U) for n in ("key", "whole", "left", "right")))
+        self.runs = Runs(*(get(n, np.int64) for n in ("first", "last", "gram")), *(get(n, U) for n in ("key", "before", "behind", "left", "right")))
         doc = np.searchsorted(self.starts, self.runs.first, side="right") - 1
         self.doc = self.ids[doc] if len(doc) else np.zeros(0, dtype=np.int64)
         self.place = self.runs.first - self.starts[doc] + (numbers[doc] << TEXT_BITS) if len(doc) else np.zeros(0, dtype=np.int64)
         # runs are in order of (document, place), so a stable sort leaves the first of equal runs first
-        sort = np.lexsort((self.runs.whole, self.runs.key))
-        same = np.r_[False, (self.runs.key[sort][1:] == self.runs.key[sort][:-1]) & (self.runs.whole[sort][1:] == self.runs.whole[sort][:-1])] if len(sort) else np.zeros(0, dtype=bool)
+        pointer = refine_names(self.runs.key, self.runs.behind, self.runs.before)
+        sort = np.argsort(pointer, kind="stable")
+        same = np.r_[False, pointer[sort][1:] == pointer[sort][:-1]] if len(sort) else np.zeros(0, dtype=bool)
         self.sent, self.repeats = sort[~same], sort[same]
 
     def blocks(self, length: int) -> Iterator[tuple[int, int]]:
@@ -250,12 +255,31 @@ def refine(data: np.ndarray, depth: int | None = None) -> np.ndarray:
     return pointer[:n]
 
 
-def bucket_ends(keys: np.ndarray) -> np.ndarray:
-    """For sorted keys: the place of the last equal one."""
-    last = np.flatnonzero(np.r_[keys[1:] != keys[:-1], True])
+def bucket_ends(*keys: np.ndarray) -> np.ndarray:
+    """For keys sorted by the first, then the next ones: the place of the last that is equal in all."""
+    if not len(keys[0]):
+        return np.zeros(0, dtype=np.int64)
+    last = np.flatnonzero(np.r_[np.any([k[1:] != k[:-1] for k in keys], axis=0), True])
     return np.repeat(last, np.diff(np.r_[-1, last]))
 
 
+def refine_names(first: np.ndarray, *later: np.ndarray) -> np.ndarray:
+    """Bucket pointers of records: buckets of equal ``first``, refined by sorting each on the names at later offsets in turn."""
+    order = np.argsort(first, kind="stable")
+    ends = bucket_ends(first[order])
+    pointer = np.empty(len(first), dtype=np.int64)
+    pointer[order] = ends
+    open_ = order[np.bincount(ends, minlength=len(first))[ends] > 1]
+    for names in later:
+        sort = np.lexsort((names[open_], pointer[open_]))
+        open_ = open_[sort]
+        own = pointer[open_]
+        inner = bucket_ends(own, names[open_])
+        pointer[open_] = own - (bucket_ends(own) - inner)
+        open_ = open_[np.bincount(inner, minlength=len(open_))[inner] > 1]
+    return pointer
+
+
 def suffix_array(data: bytes) -> np.ndarray:
     """All suffixes in order."""
     return np.argsort(refine(np.frombuffer(data, dtype=np.uint8)))
@@ -272,14 +296,14 @@ REPLY = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("blob", pa.bi
 def judge_bucket(table: pa.Table) -> pa.Table:
     """Runs of one bucket from all chunks: which are repeats, and which have to be compared as bytes."""
     chunks, blobs = table.column("chunk").to_pylist(), [x.as_py() for x in table.column("blob")]
-    parts = [unplanes(b, U, U, np.int64, np.int64)[0] for b in blobs]
-    key, whole, doc, place = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    parts = [unplanes(b, U, U, U, np.int64, np.int64)[0] for b in blobs]
+    key, before, behind, doc, place = (np.concatenate([p[i] for p in parts]) for i in range(5))
     origin = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     nth = np.concatenate([np.arange(len(p[0])) for p in parts]).astype(np.uint32)
-    sort = np.lexsort((place, doc, whole, key))
-    key, whole = key[sort], whole[sort]
-    new_key = np.r_[True, key[1:] != key[:-1]]
-    new_run = new_key | np.r_[True, whole[1:] != whole[:-1]]
+    pointer = refine_names(key, behind, before)
+    sort = np.lexsort((place, doc, pointer))
+    key, pointer = key[sort], pointer[sort]  # pointers of one key follow one another
+    new_key, new_run = np.r_[True, key[1:] != key[:-1]], np.r_[True, pointer[1:] != pointer[:-1]]
     group = np.cumsum(new_key) - 1
     unlike = np.bincount(group, weights=new_run)[group] > 1
     kind = np.where(~new_run, 1, np.where(unlike, 2, 0))
@@ -384,7 +408,7 @@ def cut_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, ke
 
     def send(table: pa.Table) -> pa.Table:
         own, number = Chunk(table, length, gram), table.column("_chunk")[0].as_py()
-        return rows(SENT, [(b, number, planes(own.runs.key[at], own.runs.whole[at], own.doc[at], own.place[at])) for b, at in own.by_bucket(buckets)])
+        return rows(SENT, [(b, number, planes(own.runs.key[at], own.runs.before[at], own.runs.behind[at], own.doc[at], own.place[at])) for b, at in own.by_bucket(buckets)])
 
     def send_bytes(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not replies.num_rows or not table.num_rows:

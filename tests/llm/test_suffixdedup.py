@@ -107,3 +107,12 @@ def test_kept_columns_with_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a", 70, 80), (2, "b", 71, 81)], "doc_id long, text string, chunk long, n_bytes long")
     got = {r.doc_id: r for r in sd.cut_repeats(docs, keep=("chunk", "n_bytes")).collect()}
     assert [(got[i].chunk, got[i].n_bytes_kept, got[i].n_bytes) for i in (1, 2)] == [(70, 80, 1), (71, 81, 1)]
+
+
+def test_pointers_of_names():
+    rnd = np.random.default_rng(2)
+    names = [rnd.integers(0, k, 2000).astype(np.uint64) for k in (40, 5, 3)]
+    pointer = sd.refine_names(*names)
+    rows = list(zip(*(x.tolist() for x in names), strict=True))
+    last = {r: i for i, r in enumerate(sorted(rows))}
+    assert pointer.tolist() == [last[r] for r in rows]
