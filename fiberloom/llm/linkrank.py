@@ -1,12 +1,14 @@
 """URL filter: rules first, then trust and distrust propagated over the graph of hosts.
 
-Hosts are linked by the absolute links of their pages, and a host with the domain above it in both
-directions (its owner).  Pages allowed by a rule seed trust, blocked ones seed distrust, by number.
-Personalised PageRank carries trust along the edges and distrust against them; a host whose share of
-distrust is above the threshold is blocked, and every other one allowed.
+Hosts are linked by the absolute links of their pages and, if ``owner_edges`` is set, a host with the domain above
+it in both directions (its owner).  Relative links stay on their host and make no edge.  Pages allowed by a rule seed
+trust, blocked ones seed distrust, by number.  Personalised PageRank carries trust along the edges and distrust against
+them; a host whose share of distrust is above the threshold is blocked, and every other one allowed.
 
-Edges are counted per pair of hosts before they are joined, states are settled in the shared folder in
-each round, and the pages meet the verdicts in a join whose host side is counted first.
+Each round leaves at most DAMPING of what was still to be dealt out: after ROUNDS that is DAMPING ** ROUNDS of all trust
+and distrust, which is checked to be below TOLERANCE.  Edges are counted per pair of hosts before they are joined; a hub's edges
+are the rows of an equi-join that adaptive execution splits, and what reaches it is summed by partial aggregation.
+States are settled in the shared folder every few rounds, and the pages meet the verdicts in a join whose host side is measured first.
 
 Defined cases: a url that is null or has no ``://`` has an empty host and path, which no rule fits and
 which is a host like any other; a null html has no links; hosts that no seed reaches are allowed;
@@ -26,8 +28,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path), as rules are written.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING = 0.85
-ROUNDS = 12
+#: Rounds, those between settled states, and the most of the mass that may be left to deal.
+ROUNDS, SETTLE_EVERY, TOLERANCE = 48, 6, 1e-3
 THRESHOLD = 0.5
+#: Whether a host and the domain above it are linked.
+OWNER_EDGES = True
 HREF = r"(?i)href *= *[\"']?([a-zA-Z]*:?//[^\"' >]*)"
 
 
@@ -74,15 +79,19 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
         ways.select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("_t"), (F.col("links") / F.col("_in")).alias("_d")))
     ways = settle(ways.groupBy("host", "to").agg(F.sum("_t").alias("_t"), F.sum("_d").alias("_d")), "link-ways")
     state = seeds.select("host", F.col("s_trust").alias("trust"), F.col("s_distrust").alias("distrust"))
-    for _ in range(rounds):
+    for nth in range(1, rounds + 1):
         sent = state.join(ways, "host").select(F.col("to").alias("host"), (F.col("trust") * F.col("_t") * damping).alias("trust"), (F.col("distrust") * F.col("_d") * damping).alias("distrust"))
         back = seeds.select("host", (F.col("s_trust") * (1 - damping)).alias("trust"), (F.col("s_distrust") * (1 - damping)).alias("distrust"))
-        state = settle(sent.unionByName(back).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "link-state")
+        state = sent.unionByName(back).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        if nth % SETTLE_EVERY == 0 or nth == rounds:
+            state = settle(state, "link-state")
     return state
 
 
-def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS, owner_edges: bool = OWNER_EDGES) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust."""
+    if damping**rounds > TOLERANCE:
+        raise ValueError(f"{rounds} rounds leave {damping**rounds:.2g} of the mass undealt, more than {TOLERANCE}")
     host, path = host_and_path(F.col("url"))
     cut = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     rule, said = rule_columns(F.col("host"), F.col("path"), rules)
@@ -91,7 +100,9 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, damp
     seen = settle(seen, "link-hosts")
     row = seen.agg(F.coalesce(F.sum("_a"), F.lit(0)).alias("a"), F.coalesce(F.sum("_b"), F.lit(0)).alias("b")).first()
     seeds = seen.select("host", (F.col("_a") / F.lit(max(row["a"], 1.0))).cast("double").alias("s_trust"), (F.col("_b") / F.lit(max(row["b"], 1.0))).cast("double").alias("s_distrust"))
-    edges = host_edges(cut).unionByName(domain_edges(seen.select("host"))).groupBy("src", "dst").agg(F.sum("links").alias("links"))
+    edges = host_edges(cut)
+    if owner_edges:
+        edges = edges.unionByName(domain_edges(seen.select("host"))).groupBy("src", "dst").agg(F.sum("links").alias("links"))
     state = propagate(seeds, settle(edges, "link-edges"), damping, rounds)
     judged = join_checked(judged, state, "host", "left", row_bytes=160, salt_by="page_id")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))

@@ -59,3 +59,70 @@ def test_propagation_against_plain_iteration(spark):
 
 def test_empty(spark):
     assert linkrank.judge_urls(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def linked(rnd, hosts):
+    """Pages whose links lead to other hosts, with some hosts allowed and some blocked by rules."""
+    rows = []
+    for i, h in enumerate(hosts):
+        for k in range(rnd.randint(1, 3)):
+            path = rnd.choice(("/en/", "/de/x", "/fr/y", "/es/z"))
+            links = "".join(f'<a class=x href="http://{rnd.choice(hosts)}/p{j}">' for j in range(rnd.randint(0, 4)))
+            rows.append((10 * i + k, f"http://{h}{path}", links + "<a href='/own/page'>"))
+    return rows
+
+
+@pytest.mark.parametrize("owners", [False, True])
+def test_verdicts_over_links_between_hosts(spark, owners):
+    """A table with links between hosts against plain power iteration to the end."""
+    import random
+
+    rnd = random.Random(11)
+    hosts = [f"h{i}.net" for i in range(12)] + [f"s{i}.site.com" for i in range(6)] + ["example.org", "a.example.org", "good.org"]
+    rows = linked(rnd, hosts)
+    got = linkrank.judge_urls(spark.createDataFrame([(*r, "h", "v", "t") for r in rows], PAGES), owner_edges=owners).collect()
+    seed, edges = {}, {}
+    for i, url, html in rows:
+        h, p = parts(url)
+        said = rule(h, p)[1]
+        t = seed.setdefault(h, [0, 0])
+        t[0] += said == "allow"
+        t[1] += said == "block"
+        for to in re.findall('href="http://([^/]*)/', html):
+            if to != h:
+                edges[h, to] = edges.get((h, to), 0) + 1
+    if owners:
+        for h in list(seed):
+            labels = h.split(".")
+            for k in range(len(labels) - 2):
+                a, b = ".".join(labels[k:]), ".".join(labels[k + 1 :])
+                edges[a, b] = edges.get((a, b), 0) + 1
+                edges[b, a] = edges.get((b, a), 0) + 1
+    every = set(seed) | {x for e in edges for x in e}
+    of = lambda k: {h: seed.get(h, (0, 0))[k] / max(sum(s[k] for s in seed.values()), 1) for h in every}
+    ways = [edges, {(b, a): n for (a, b), n in edges.items()}]
+    scores = []
+    for k in (0, 1):
+        total = {h: sum(n for (a, _), n in ways[k].items() if a == h) for h in every}
+        now = start = of(k)
+        for _ in range(300):
+            now = {h: 0.15 * start[h] + 0.85 * sum(now[a] * n / total[a] for (a, b), n in ways[k].items() if b == h) for h in every}
+        scores.append(now)
+    assert len({r.verdict for r in got if r.rule is None}) == 2
+    for r in got:
+        t, d = scores[0][r.host], scores[1][r.host]
+        assert abs(r.trust - t) < 1e-3 and abs(r.distrust - d) < 1e-3
+        if r.rule is None and abs(t - d) > 2e-3:
+            assert r.verdict == ("block" if d > t else "allow")
+
+
+def test_too_few_rounds_are_an_error(spark):
+    with pytest.raises(ValueError, match="undealt"):
+        linkrank.judge_urls(spark.createDataFrame([], PAGES), rounds=5)
+
+
+def test_a_long_chain_of_links_is_followed_to_its_end(spark):
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(25)] + [(25, "http://h25.com/de/1", "")]
+    rows[24] = (24, "http://h24.net/", '<a href="http://h25.com/">')
+    got = {r.page_id: r.verdict for r in linkrank.judge_urls(spark.createDataFrame([(*r, "h", "v", "t") for r in rows], PAGES)).collect()}
+    assert set(got.values()) == {"block"}
