@@ -3,16 +3,18 @@
 Counts are made per document by array functions, without taking documents apart into rows.  Their
 transforms (DIMENSIONS) form a vector; per language and source the mean and covariance of the tightest
 SHARE of the vectors are found by concentration steps: distances from the last estimate, the bin of
-distance that holds the share, then moments of what lies within.  A document whose Mahalanobis distance
-from its group's estimate is above the threshold is rejected.
+distance that holds the share, then moments of what lies within.  Steps go on until no group's determinant falls any
+more, from several starts (STARTS); each group keeps the first start that ends with the least determinant (or within BETTER of it).  A document whose
+Mahalanobis distance from its group's estimate is above the threshold is rejected.
 
 Every step is a grouped aggregate over a narrow settled table, so a group with a third of all rows is
-summed by partial aggregation; distances are counted in bins, never sorted.  The estimate of a group with
-fewer than LEAST_ROWS documents is its language's, or else that of all documents.
+summed by partial aggregation; distances are counted in bins, never sorted.  The estimate of a language and source is
+drawn towards its language's, and that towards the one of all documents, as if SHRINK documents of the wider group were
+in the narrower one: this decides for a group of one and fades for one of many, without a switch.
 
 Defined cases: null text has no words (and fails the base rules); null language and source are groups of
 their own; the square of the floor is added to each variance; repeated rows count as
-often as they stand; an empty table gives an empty result; other columns are ignored.
+often as they stand; a text of any length is counted whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +32,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 LEAST_WORDS, MOST_REPEAT = 50, 50
 SHARE = 0.75
-STEPS = 5
-LEAST_ROWS = 60
+#: The least and the most steps, the fall of a determinant's logarithm below which a group has settled, and by how much
+#: it must be lower for a later start to count as better (whole bins come in and go out, so equal sets of rows can differ by less).
+STEPS, MOST_STEPS, SETTLED, BETTER = 5, 40, 1e-3, 1e-2
+#: Shares of the rows, in the middle of each dimension, that make the first estimates (1: all rows).
+STARTS = (0.75, 0.4, 1.0)
+#: Documents of the wider group in the narrower one: with fewer than THRESHOLD * CONSISTENCY a text alone in its group could never be far from it.
+SHRINK = 100.0
 #: Of the distances of a group's own rows: squared, about the upper 1e-5 of chi-square with four degrees.
 THRESHOLD = 28.5
 #: Scales a covariance of the inner 75 % (four dimensions) to that of all.
@@ -120,27 +127,49 @@ def distance() -> Column:
     return sum((v * v for v in z), F.lit(0.0))
 
 
-def concentrate(vectors: DataFrame, group: str, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """The estimate of each group of a settled table (group, x0, x1, ...) after the given number of steps.
+MOMENTS = ["_n", *[f"_s{i}" for i in range(DIMENSIONS)], *[f"_p{i}{j}" for i, j in PAIRS]]
 
-    It starts from moments of the middle of each dimension (within the bins that hold the share around the median).
+
+def spread(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """The moments with the logarithm of the determinant of their covariance in ``_det``."""
+    det = sum((F.log(F.col(f"l{i}{i}")) * 2 for i in range(DIMENSIONS)), F.lit(0.0))
+    return sums.join(with_estimate(sums, keys, 1.0).select(*keys, det.alias("_det")), keys)
+
+
+def concentrate(vectors: DataFrame, group: str, share: float = SHARE, starts: tuple[float, ...] = STARTS) -> DataFrame:
+    """Moments of the share with the least determinant found, by group, of a settled table (group, x0, x1, ...).
+
+    Each start is of the moments of the middle of each dimension (within the bins that hold its share around the median).
     """
-    own = with_estimate(start_moments(vectors, group, share), [group], 1.0)
-    estimate = settle(own, "mcd-start")
-    for step in range(steps):
-        placed = join_checked(vectors, estimate, group, row_bytes=200, salt_by="x0")
+    keys = [group, "_start"]
+    first = [start_moments(vectors, group, s).withColumn("_start", F.lit(i)) for i, s in enumerate(starts)]
+    state = settle(spread(reduce(DataFrame.unionByName, first), keys), "mcd-start")
+    for step in range(1, MOST_STEPS + 1):
+        placed = join_checked(vectors, settle(with_estimate(state, keys, 1.0), "mcd-estimate"), group, row_bytes=200, salt_by="x0")
         placed = placed.withColumn("_bin", F.floor(F.log1p(distance()) * BINS_PER_E).cast("int"))
-        binned = placed.groupBy(group, "_bin").agg(*moments())
-        upto = F.sum("_n").over(Window.partitionBy(group).orderBy("_bin"))
-        total = F.sum("_n").over(Window.partitionBy(group))
+        binned = placed.groupBy(*keys, "_bin").agg(*moments())
+        upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin"))
+        total = F.sum("_n").over(Window.partitionBy(*keys))
         inner = binned.withColumn("_before", upto - F.col("_n")).withColumn("_all", total).where(F.col("_before") < F.col("_all") * share)
-        sums = inner.groupBy(group).agg(*[F.sum(c).alias(c) for c in binned.columns if c not in (group, "_bin")])
-        estimate = settle(with_estimate(sums, [group], CONSISTENCY if step == steps - 1 else 1.0), "mcd-step")
-    return estimate
+        after = settle(spread(inner.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in MOMENTS]), keys), "mcd-step")
+        fall = after.select(*keys, F.col("_det").alias("_now")).join(state.select(*keys, "_det"), keys).agg(F.max(F.col("_det") - F.col("_now"))).first()[0]
+        state = after
+        if step >= STEPS and (fall or 0.0) < SETTLED:
+            near = state.withColumn("_least", F.min("_det").over(Window.partitionBy(group))).where(F.col("_det") <= F.col("_least") + BETTER)
+            return settle(near.groupBy(group).agg(F.min_by(F.struct(*MOMENTS), "_start").alias("_m")).select(group, "_m.*"), "mcd-best")
+    raise RuntimeError(f"determinants still fall after {MOST_STEPS} steps")
+
+
+def drawn(own: DataFrame, wider: DataFrame, on: str, by: float) -> DataFrame:
+    """``own`` moments, with ``by`` documents as those of ``wider`` are, met on the column ``on`` of both."""
+    return own.join(wider.select(on, *[(F.col(c) / F.col("_n") * by).alias(f"_w{c}") for c in MOMENTS]), on).select(*[c for c in own.columns if c not in MOMENTS], *[(F.col(c) + F.col(f"_w{c}")).alias(c) for c in MOMENTS])
 
 
 def start_moments(vectors: DataFrame, group: str, share: float) -> DataFrame:
     """Moments of the rows that lie, in every dimension, within the middle bins holding ``share`` of the group."""
+    every = vectors.groupBy(group).agg(*moments())
+    if share >= 1:
+        return every
     bins = vectors.select(group, F.explode(F.array(*[F.struct(F.lit(i).alias("_d"), F.floor(F.col(f"x{i}") * BINS_PER_E).alias("_bin")) for i in range(DIMENSIONS)])).alias("_b")).select(group, "_b.*")
     counted = bins.groupBy(group, "_d", "_bin").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(group, "_d")
@@ -151,16 +180,13 @@ def start_moments(vectors: DataFrame, group: str, share: float) -> DataFrame:
     limits = settle(limits, "mcd-limits")
     placed = join_checked(vectors, limits, group, row_bytes=120, salt_by="x0")
     inside = [F.floor(F.col(f"x{i}") * BINS_PER_E).between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(DIMENSIONS)]
-    both = reduce(and_, inside)
-    some = placed.where(both).groupBy(group).agg(*moments())
-    every = placed.groupBy(group).agg(*moments())
-    names = [c for c in some.columns if c != group]
+    some = placed.where(reduce(and_, inside)).groupBy(group).agg(*moments())
     # a group whose middle is empty starts from all its rows
-    joined = every.join(some.select(group, *[F.col(c).alias(f"_i{c}") for c in names]), group, "left")
-    return joined.select(group, *[F.coalesce(f"_i{c}", c).alias(c) for c in names])
+    joined = every.join(some.select(group, *[F.col(c).alias(f"_i{c}") for c in MOMENTS]), group, "left")
+    return joined.select(group, *[F.coalesce(f"_i{c}", c).alias(c) for c in MOMENTS])
 
 
-def judge(documents: DataFrame, threshold: float = THRESHOLD, least_rows: int = LEAST_ROWS) -> DataFrame:
+def judge(documents: DataFrame, threshold: float = THRESHOLD, shrink: float = SHRINK) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the distance."""
     group = lambda *parts: F.to_json(F.struct(*parts))
     lang, source = F.col("lang"), F.col("source")
@@ -170,18 +196,16 @@ def judge(documents: DataFrame, threshold: float = THRESHOLD, least_rows: int =
     rows = settle(counted.withColumns(xs), "quality-counts")
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEAT)
     rows = rows.withColumn("base_failed", failed)
-    sized = rows.where(~F.col("base_failed")).groupBy("_fine", "_wide").agg(F.count("*").alias("_rows"))
-    sized = settle(sized.withColumn("_of_wide", F.sum("_rows").over(Window.partitionBy("_wide"))), "quality-sizes")
-    chosen = settle(sized.select("_fine", F.when(F.col("_rows") >= least_rows, F.col("_fine")).when(F.col("_of_wide") >= least_rows, F.col("_wide")).otherwise("*").alias("_group")), "quality-groups")
-    # each row teaches its own group, and its language and the whole where some group needs them
-    needed = chosen.select("_group").distinct()
-    levels = sized.select("_fine", F.explode(F.array(F.col("_fine"), F.col("_wide"), F.lit("*"))).alias("_group")).join(needed, "_group", "left_semi")
-    levels = settle(levels.groupBy("_fine").agg(F.collect_list("_group").alias("_levels")), "quality-levels")
+    # each row that passes teaches its own group, its language and the whole
     names = [f"x{i}" for i in range(DIMENSIONS)]
-    vectors = join_checked(rows.where(~F.col("base_failed")).select("_fine", *names), levels, "_fine", row_bytes=300, salt_by="x0")
-    vectors = settle(vectors.select(F.explode("_levels").alias("_group"), *names), "quality-vectors")
-    estimate = concentrate(vectors, "_group")
-    lookup = settle(chosen.join(estimate, "_group").drop("_n", "_group"), "quality-lookup")
+    good = rows.where(~F.col("base_failed"))
+    vectors = settle(good.select(F.explode(F.array(F.col("_fine"), F.col("_wide"), F.lit("*"))).alias("_group"), *names), "quality-vectors")
+    found = concentrate(vectors, "_group")
+    at = lambda key: good.select(*key).distinct()
+    whole = found.where("_group = '*'").drop("_group").withColumn("_any", F.lit(1))
+    wide = drawn(found.withColumnRenamed("_group", "_wide").join(at(["_wide"]), "_wide").withColumn("_any", F.lit(1)), whole, "_any", shrink)
+    fine = drawn(found.withColumnRenamed("_group", "_fine").join(at(["_fine", "_wide"]), "_fine"), wide, "_wide", shrink)
+    lookup = settle(with_estimate(fine, ["_fine"], CONSISTENCY).drop("_n"), "quality-lookup")
     placed = join_checked(rows, lookup, "_fine", "left", row_bytes=240, salt_by="doc_id")
     far = F.coalesce(distance(), F.lit(0.0))
     kept = ~F.col("base_failed") & (far <= threshold)

@@ -87,3 +87,49 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty(spark):
     assert quality.judge(frame(spark, [])).count() == 0
+
+
+def fast_mcd(x, share, draws=60):
+    """Plain FastMCD: many random starts, exact shares by sorting, steps until the determinant stops falling."""
+    rnd, h, best = np.random.default_rng(1), int(np.ceil(len(x) * share)), (np.inf, None)
+    for _ in range(draws):
+        take, last = rnd.choice(len(x), 8, replace=False), np.inf
+        for _ in range(100):
+            mean = x[take].mean(axis=0)
+            cov = x[take].T @ x[take] / len(take) - np.outer(mean, mean) + np.diag(np.square(quality.FLOORS))
+            det = np.linalg.slogdet(cov)[1]
+            if len(take) == h and det >= last - 1e-12:
+                break
+            last = det if len(take) == h else np.inf
+            take = np.argsort(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean), kind="stable")[:h]
+        if det < best[0]:
+            best = det, take
+    return best
+
+
+def test_determinants_against_fast_mcd(spark):
+    """Clusters, a far third, and a scattered cloud: the determinant found is the least one, but for what a bin holds more."""
+    rnd = np.random.default_rng(3)
+    clouds = {
+        "one": rnd.normal(0, 0.2, (400, 4)),
+        "far": np.r_[rnd.normal(1, 0.1, (300, 4)), rnd.normal(4, 0.1, (90, 4))],
+        "line": np.c_[rnd.normal(0, 0.5, 400), rnd.normal(0, 0.02, (400, 3))] + np.r_[np.zeros((330, 4)), rnd.uniform(-3, 3, (70, 4))],
+    }
+    rows = [(g, *map(float, r)) for g, x in clouds.items() for r in x]
+    vectors = quality.settle(spark.createDataFrame(rows, "g string, x0 double, x1 double, x2 double, x3 double"), "test-vectors")
+    got = {r.g: r for r in quality.spread(quality.concentrate(vectors, "g"), ["g"]).collect()}
+    for g, x in clouds.items():
+        det, take = fast_mcd(x, quality.SHARE)
+        mean = np.array([got[g][f"_s{i}"] / got[g]["_n"] for i in range(4)])
+        assert abs(got[g]["_det"] - det) < 0.25 and np.abs(mean - x[take].mean(axis=0)).max() < 0.05
+        assert len(x) * quality.SHARE <= got[g]["_n"] <= len(x) * (quality.SHARE + 0.06)
+
+
+def test_small_groups_lean_on_their_language(spark):
+    """A group of one text like all others of its language is not rejected; an odd one is."""
+    rnd = random.Random(8)
+    make = lambda odd: " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(2, 9))) + ("$$#" if odd else "") for _ in range(120))
+    rows = [(i, make(False), "en", f"s{i % 3}", 0, 7, "k", 1, 2, 0.5, "h", "b") for i in range(120)]
+    rows += [(200, make(False), "en", "alone", 0, 7, "k", 1, 2, 0.5, "h", "b"), (201, make(True), "en", "odd", 0, 7, "k", 1, 2, 0.5, "h", "b"), (202, make(True), None, None, 0, 7, "k", 1, 2, 0.5, "h", "b")]
+    got = {r.doc_id: r.kept for r in quality.judge(frame(spark, rows)).collect()}
+    assert [got[i] for i in (200, 201, 202)] == [True, False, False] and all(got[i] for i in range(120))
