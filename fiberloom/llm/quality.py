@@ -32,9 +32,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 LEAST_WORDS, MOST_REPEAT = 50, 50
 SHARE = 0.75
-#: The least and the most steps, the fall of a determinant's logarithm below which a group has settled, and by how much
+#: Steps that all groups make, the most steps, the fall of a determinant's logarithm below which a group has settled, and by how much
 #: it must be lower for a later start to count as better (whole bins come in and go out, so equal sets of rows can differ by less).
-STEPS, MOST_STEPS, SETTLED, BETTER = 5, 40, 1e-3, 1e-2
+STEPS, MOST_STEPS, SETTLED, BETTER = 5, 100, 1e-3, 1e-2
 #: Shares of the rows, in the middle of each dimension, that make the first estimates (1: all rows).
 STARTS = (0.75, 0.4, 1.0)
 #: Documents of the wider group in the narrower one: with fewer than THRESHOLD * CONSISTENCY a text alone in its group could never be far from it.
@@ -143,20 +143,24 @@ def concentrate(vectors: DataFrame, group: str, share: float = SHARE, starts: tu
     """
     keys = [group, "_start"]
     first = [start_moments(vectors, group, s).withColumn("_start", F.lit(i)) for i, s in enumerate(starts)]
-    state = settle(spread(reduce(DataFrame.unionByName, first), keys), "mcd-start")
+    state = moving = settle(spread(reduce(DataFrame.unionByName, first), keys), "mcd-start")
     for step in range(1, MOST_STEPS + 1):
-        placed = join_checked(vectors, settle(with_estimate(state, keys, 1.0), "mcd-estimate"), group, row_bytes=200, salt_by="x0")
+        placed = join_checked(vectors, settle(with_estimate(moving, keys, 1.0), "mcd-estimate"), group, row_bytes=200, salt_by="x0")
         placed = placed.withColumn("_bin", F.floor(F.log1p(distance()) * BINS_PER_E).cast("int"))
         binned = placed.groupBy(*keys, "_bin").agg(*moments())
         upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin"))
         total = F.sum("_n").over(Window.partitionBy(*keys))
         inner = binned.withColumn("_before", upto - F.col("_n")).withColumn("_all", total).where(F.col("_before") < F.col("_all") * share)
-        after = settle(spread(inner.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in MOMENTS]), keys), "mcd-step")
-        fall = after.select(*keys, F.col("_det").alias("_now")).join(state.select(*keys, "_det"), keys).agg(F.max(F.col("_det") - F.col("_now"))).first()[0]
-        state = after
-        if step >= STEPS and (fall or 0.0) < SETTLED:
+        after = spread(inner.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in MOMENTS]), keys)
+        if step <= STEPS:
+            state = moving = settle(after, "mcd-step")
+            continue
+        # from here on only what falls goes on; whole bins come in and go out, so a step can also rise
+        moving = settle(after.join(moving.select(*keys, F.col("_det").alias("_was")), keys).where(F.col("_det") < F.col("_was") - SETTLED).drop("_was"), "mcd-step")
+        if moving.isEmpty():
             near = state.withColumn("_least", F.min("_det").over(Window.partitionBy(group))).where(F.col("_det") <= F.col("_least") + BETTER)
             return settle(near.groupBy(group).agg(F.min_by(F.struct(*MOMENTS), "_start").alias("_m")).select(group, "_m.*"), "mcd-best")
+        state = settle(state.join(moving.select(*keys), keys, "left_anti").unionByName(moving), "mcd-state")
     raise RuntimeError(f"determinants still fall after {MOST_STEPS} steps")
 
 
