@@ -36,8 +36,13 @@ def resolved_bases(facts: DataFrame) -> DataFrame:
 
 
 def lineage(facts: DataFrame) -> DataFrame:
-    """(descendant, ancestor, depth) over resolved bases."""
-    return graph.closure(resolved_bases(facts).where("resolved is not null"), "symbol", "resolved")
+    """(descendant, ancestor, depth) over resolved bases; of settled facts it is closed once and kept with them."""
+    kept = getattr(facts, "closed_lineage", None)
+    if kept is None:
+        kept = graph.closure(resolved_bases(facts).where("resolved is not null"), "symbol", "resolved")
+        if hasattr(facts, "settled_at"):
+            facts.closed_lineage = kept
+    return kept
 
 
 def targets(facts: DataFrame) -> DataFrame:

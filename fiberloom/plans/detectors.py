@@ -1,8 +1,9 @@
 """Named detectors over facts of source code; each gives findings (detector, subject, n, evidence).
 
 A detector is a function (facts, modules, limits) -> DataFrame, registered under its own name by @detector.
-Evidence is the first EVIDENCE places in order of path and line; n counts all of them.  Several detectors follow
-published descriptions of which only the title is known; they state their own rule in the docstring.
+Evidence is the first EVIDENCE places in order of path and line; n counts all of them and paths are those of all, so that a
+scope is asked of every place.  Several detectors follow published descriptions of which only the title is known; they
+state their own rule in the docstring.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fiberloom.functions import names
@@ -29,6 +30,7 @@ LIMITS = {
     "min_hardcoded_string_sites": 3, "min_unreferenced_private_function_lines": 8, "min_repeated_local_regex_literals": 3, "min_orchestration_function_lines": 150,
     "min_orchestration_branches": 15, "min_orchestration_calls": 50, "min_shared_parameters": 5, "min_parameter_family_function_lines": 40, "min_boundary_fanout_sites": 4,
     "min_branch_cluster_function_lines": 80, "min_branch_cluster_branches": 8, "min_role_bundle_fields": 3, "min_family_size": 3, "min_stage_sites": 3, "min_reflective_selector_values": 2, "min_literal_schema_field_count": 2, "min_literal_schema_owner_count": 2, "max_blank_lines": 4,
+    "min_role_drift_use_sites": 2, "min_role_drift_token_support": 2, "min_generic_role_case_table_owners": 2, "min_generic_role_case_table_cases": 2, "min_local_role_case_logic_cases": 2,
 }
 
 DETECTORS: dict[str, Callable[[DataFrame, DataFrame, dict], DataFrame]] = {}
@@ -48,16 +50,31 @@ def place() -> Column:
 
 
 def grouped(rows: DataFrame, keys: list[Column], least: int, *more: Column, where: str = "true") -> DataFrame:
-    """(subject, n, evidence) of groups of at least ``least`` places; further aggregates may be asked for in ``where``."""
-    subject = F.concat_ws(" | ", *[k.cast("string") for k in keys]).alias("subject")
-    out = rows.groupBy(subject).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(place())).alias("evidence"), *more).where((F.col("n") >= least) & F.expr(where))
-    return out.select("subject", "n", F.slice("evidence", 1, EVIDENCE).alias("evidence"))
+    """(subject, n, evidence, paths) of groups of at least ``least`` places; further aggregates may be asked for in ``where``.
+
+    Only EVIDENCE places of a group are ever gathered; they are ranked in every task before they meet.
+    """
+    named = rows.withColumn("_subject", F.concat_ws(" | ", *[k.cast("string") for k in keys]))
+    out = named.groupBy("_subject").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("path")).alias("paths"), *more).where((F.col("n") >= least) & F.expr(where))
+    nth = F.row_number().over(Window.partitionBy("_subject").orderBy("path", "line", "symbol"))
+    first = named.select("_subject", "path", "line", symbol().alias("symbol")).withColumn("_nth", nth).where(F.col("_nth") <= EVIDENCE)
+    first = first.groupBy("_subject").agg(F.array_sort(F.collect_list(F.struct("path", "line", "symbol"))).alias("evidence"))
+    return out.join(first, "_subject").select(F.col("_subject").alias("subject"), "n", "evidence", "paths")
 
 
 def single(rows: DataFrame) -> DataFrame:
     return rows.select(symbol().alias("subject"), F.lit(1).cast("long").alias("n"), F.array(place()).alias("evidence"))
 
 
+def at_classes(facts: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """``found`` (subject, n, ...) with the places of the classes named in ``columns`` as evidence."""
+    places = lineage.class_table(facts).groupBy("symbol").agg(F.min(F.struct("path", "line")).alias("_p"))
+    for c in columns:
+        found = found.join(places.select(F.col("symbol").alias(f"_of_{c}"), F.col("_p").alias(f"_at_{c}")), F.substring_index(c, "/", 1) == F.col(f"_of_{c}"), "left")
+    spot = lambda c: F.struct(F.coalesce(f"_at_{c}.path", F.lit("")).alias("path"), F.coalesce(f"_at_{c}.line", F.lit(0)).alias("line"), F.col(c).alias("symbol"))
+    return found.select("subject", "n", F.array(*map(spot, columns)).alias("evidence"))
+
+
 def number(key: str) -> Column:
     return F.col("numbers")[key]
 
@@ -79,7 +96,9 @@ def hierarchy_candidate(facts, modules, limits):
     """Classes that share two or more like methods."""
     m = owned(facts, "method").where(number("statements") >= limits["min_duplicate_statements"])
     sets = grouping.cohorts(m.withColumn("shape", F.concat_ws("/", "name", "value")), "cls", "shape", least_fibers=2)
-    return sets.select(F.col("witnesses").alias("subject"), F.col("n_witnesses").alias("n"), F.transform(F.split("witnesses", ","), lambda w: F.struct(F.lit("").alias("path"), F.lit(0).cast("long").alias("line"), w.alias("symbol"))).alias("evidence"))
+    each = sets.select(F.col("witnesses").alias("subject"), F.col("n_witnesses").alias("n"), F.explode(F.split("witnesses", ",")).alias("symbol"))
+    placed = each.join(lineage.class_table(facts).groupBy("symbol").agg(F.min("path").alias("path"), F.min("line").alias("line")), "symbol")
+    return placed.groupBy("subject", "n").agg(F.array_sort(F.collect_list(F.struct("path", "line", "symbol"))).alias("evidence"))
 
 
 @detector
@@ -159,7 +178,7 @@ def repeated_field_family(facts, modules, limits):
     own = fields.groupBy("cls").agg(F.count("*").alias("k"))
     pairs = matching.overlap_pairs(fields, "cls", "name", 2)
     both = pairs.join(own.select(F.col("cls").alias("left_id"), F.col("k").alias("a")), "left_id").join(own.select(F.col("cls").alias("right_id"), F.col("k").alias("b")), "right_id").where("n_shared >= 0.5 * a and n_shared >= 0.5 * b and n_shared < a and n_shared < b")
-    return both.select(F.concat_ws(" & ", "left_id", "right_id").alias("subject"), F.col("n_shared").alias("n"), F.array(*[F.struct(F.lit("").alias("path"), F.lit(0).cast("long").alias("line"), F.col(c).alias("symbol")) for c in ("left_id", "right_id")]).alias("evidence"))
+    return at_classes(facts, both.select("left_id", "right_id", F.concat_ws(" & ", "left_id", "right_id").alias("subject"), F.col("n_shared").alias("n")), "left_id", "right_id")
 
 
 @detector
@@ -205,7 +224,7 @@ def parallel_primitive_carrier(facts, modules, limits):
     """Pairs of classes that declare three or more fields of the same name and type."""
     roles = owned(facts, "field").select("cls", F.concat_ws(":", "name", "value").alias("role"))
     pairs = matching.overlap_pairs(roles, "cls", "role", 3)
-    return pairs.select(F.concat_ws(" & ", "left_id", "right_id").alias("subject"), F.col("n_shared").alias("n"), F.array(*[F.struct(F.lit("").alias("path"), F.lit(0).cast("long").alias("line"), F.col(c).alias("symbol")) for c in ("left_id", "right_id")]).alias("evidence"))
+    return at_classes(facts, pairs.select("left_id", "right_id", F.concat_ws(" & ", "left_id", "right_id").alias("subject"), F.col("n_shared").alias("n")), "left_id", "right_id")
 
 
 @detector
@@ -314,7 +333,7 @@ def empty_leaf_product(facts, modules, limits):
     leaves = family(facts, "class").where((number("trivial") == 1) & (F.size("items") == 2)).select("path", "line", "owner", "func", "name", F.col("items")[0].alias("l"), F.col("items")[1].alias("r"))
     per_left = leaves.groupBy("l").agg(F.array_join(F.array_sort(F.collect_set("r")), ",").alias("rights"), F.count("*").alias("k"), F.collect_list(place()).alias("e"))
     out = per_left.where("k = size(split(rights, ','))").groupBy("rights").agg(F.count("*").alias("lefts"), F.sum("k").alias("n"), F.array_sort(F.flatten(F.collect_list("e"))).alias("evidence")).where("lefts >= 2 and n >= 4 and n = lefts * size(split(rights, ','))")
-    return out.select(F.col("rights").alias("subject"), "n", F.slice("evidence", 1, EVIDENCE).alias("evidence"))
+    return out.select(F.col("rights").alias("subject"), "n", F.slice("evidence", 1, EVIDENCE).alias("evidence"), F.array_distinct(F.transform("evidence", lambda e: e["path"])).alias("paths"))
 
 
 @detector
@@ -450,7 +469,7 @@ def prefixed_field_bundle(facts, modules, limits):
     f = owned(facts, "field").select("cls", F.regexp_extract("name", "^([a-z0-9]+)_(.+)$", 1).alias("p"), F.regexp_extract("name", "^([a-z0-9]+)_(.+)$", 2).alias("rest")).where("p <> ''").distinct()
     pairs = f.withColumn("id", F.concat_ws("/", "cls", "p")).withColumn("atom", F.concat_ws("/", "cls", "rest"))
     both = matching.overlap_pairs(pairs, "id", "atom", limits["min_role_bundle_fields"])
-    return both.select(F.concat_ws(" & ", "left_id", "right_id").alias("subject"), F.col("n_shared").alias("n"), F.array(*[F.struct(F.lit("").alias("path"), F.lit(0).cast("long").alias("line"), F.col(c).alias("symbol")) for c in ("left_id", "right_id")]).alias("evidence"))
+    return at_classes(facts, both.select("left_id", "right_id", F.concat_ws(" & ", "left_id", "right_id").alias("subject"), F.col("n_shared").alias("n")), "left_id", "right_id")
 
 
 @detector
@@ -483,21 +502,30 @@ def syntax_errors(facts, modules, limits):
     return single(family(facts, "syntax_error"))
 
 
+def of_detector(name: str, found: DataFrame) -> DataFrame:
+    paths = F.col("paths") if "paths" in found.columns else F.array_distinct(F.transform("evidence", lambda e: e["path"]))
+    return found.select(F.lit(name).alias("detector"), "subject", F.col("n").cast("long").alias("n"), "evidence", paths.alias("paths"))
+
+
 def findings(facts: DataFrame, modules: DataFrame, only: list[str] | None = None, excluded: tuple[str, ...] = (), limits: dict | None = None) -> DataFrame:
     """All findings of the chosen detectors, with an id that depends on what is found."""
     settings = LIMITS | (limits or {})
-    parts = [DETECTORS[n](facts, modules, settings).select(F.lit(n).alias("detector"), "subject", F.col("n").cast("long").alias("n"), "evidence") for n in only or DETECTORS if n not in excluded]
+    parts = [of_detector(n, DETECTORS[n](facts, modules, settings)) for n in only or DETECTORS if n not in excluded]
     every = reduce(DataFrame.unionByName, parts)
     return every.withColumn("finding_id", names.stable_id(F.col("detector"), F.col("subject"), F.to_json("evidence")))
 
 
 def in_scope(found: DataFrame, roots: list[str]) -> DataFrame:
-    """Findings with any evidence under one of the roots."""
-    under = lambda e: grouping.any_of([e["path"].startswith(r) for r in roots])
-    return found.where(F.exists("evidence", under))
+    """Findings with a place in one of the roots: folders, or modules with or without their ending; whole parts of a path count."""
+    trimmed = [r.rstrip("/") for r in roots]
+    under = lambda p: grouping.any_of([p.isin(r, f"{r}.py") | p.startswith(f"{r}/") for r in trimmed])
+    return found.where(F.exists("paths", under))
 
 
 def analyze(spark: SparkSession, roots: list[str], only: list[str] | None = None) -> DataFrame:
     """Scan, parse once, and run the detectors on the settled facts."""
     source = settle(code.modules(spark, roots), "modules")
     return findings(settle(code.facts(source), "facts"), source, only)
+
+
+from fiberloom.plans import surfaces  # noqa: E402, F401

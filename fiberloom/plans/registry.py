@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Queries over source code written from a table, apart from those that the bench times.
+CODE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
@@ -25,4 +27,4 @@ def query(sql: str | None = None):
     return put
 
 
-from fiberloom.plans import graphs, portfolio, ranks, relations, shapes  # noqa: E402, F401
+from fiberloom.plans import graphs, planted, portfolio, ranks, relations, shapes  # noqa: E402, F401

@@ -1,7 +1,7 @@
 """Source trees as tables: modules, and the facts parsed out of them in one pass.
 
 Parsing is the only work done in Python workers; everything on facts is declared with DataFrame operators.
-A module that does not parse gives one fact of family ``syntax_error``.
+A module that does not parse, or is too deep to be looked through, gives one fact of family ``syntax_error``.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiberloom.functions.names import is_test_path
+from fiberloom.sources import shapes
 
 FACTS = "path string, module string, family string, owner string, func string, name string, line long, end_line long, value string, items array<string>, numbers map<string,long>"
 #: Directories that a scan leaves out, beside hidden ones and package metadata.
@@ -125,7 +126,7 @@ class Facts(ast.NodeVisitor):
             elif isinstance(x, ast.Assign):
                 for t in x.targets:
                     if isinstance(t, ast.Name):
-                        self.put("class_assignment", t.id, x, ast.unparse(x.value)[:200])
+                        self.put("class_assignment", t.id, x, ast.unparse(x.value))
         self.generic_visit(node)
         self.classes.pop()
 
@@ -190,7 +191,7 @@ class Facts(ast.NodeVisitor):
             self.put("reference", name, node)
 
     def visit_Constant(self, node: ast.Constant) -> None:
-        if isinstance(node.value, str) and 2 < len(node.value) < 80 and "\n" not in node.value:
+        if isinstance(node.value, str) and node.value.strip():
             self.put("string", node.value, node)
 
     def visit_Assign(self, node: ast.Assign) -> None:
@@ -294,11 +295,12 @@ def parse(source: str) -> list[tuple]:
     """The facts of one module."""
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError) as e:
-        return [("syntax_error", "", "", type(e).__name__, getattr(e, "lineno", None) or 1, getattr(e, "lineno", None) or 1, str(e)[:200], [], {})]
-    found = Facts()
-    found.visit(tree)
-    return found.rows
+        found = Facts()
+        found.visit(tree)
+        return found.rows + shapes.collect(tree)
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        line = getattr(e, "lineno", None) or 1
+        return [("syntax_error", "", "", type(e).__name__, line, line, str(e), [], {})]
 
 
 def facts(source_modules: DataFrame) -> DataFrame:

@@ -15,13 +15,13 @@ def tables(spark):
 
 def test_bases_are_resolved_and_closed(tables):
     got = {(r.symbol, r.base): (r.resolved, r.how) for r in classes.resolved_bases(tables[0]).collect()}
-    assert got["pkg.leaf.Leaf", "ImportedMid"] == ("pkg.base.Mid", "import")
-    assert got["pkg.leaf.GenericLeaf", "ImportedMid"] == ("pkg.base.Mid", "import")
-    assert got["pkg.qualified.Qualified", "base_alias.Root"] == ("pkg.base.Root", "import")
-    assert got["pkg.unique.UniqueLeaf", "Root"][0] == "pkg.base.Root" and got["pkg.base.Mid", "Root"] == ("pkg.base.Root", "module")
+    assert got["pkg.pumps.Pump", "Drive"] == ("pkg.engine.Geared", "import")
+    assert got["pkg.pumps.PumpOf", "Drive"] == ("pkg.engine.Geared", "import")
+    assert got["pkg.fans.Fan", "works.Motor"] == ("pkg.engine.Motor", "import")
+    assert got["pkg.mills.Mill", "Motor"][0] == "pkg.engine.Motor" and got["pkg.engine.Geared", "Motor"] == ("pkg.engine.Motor", "module")
     up = {(r.descendant, r.ancestor): r.depth for r in classes.lineage(tables[0]).collect()}
-    assert up["pkg.leaf.Leaf", "pkg.base.Root"] == 2 and up["pkg.leaf.Leaf", "pkg.base.Mid"] == 1
-    assert {d for d, a in up if a == "pkg.base.Root" and "leaves" not in d} == {"pkg.base.Mid", "pkg.leaf.Leaf", "pkg.leaf.GenericLeaf", "pkg.qualified.Qualified", "pkg.unique.UniqueLeaf"}
+    assert up["pkg.pumps.Pump", "pkg.engine.Motor"] == 2 and up["pkg.pumps.Pump", "pkg.engine.Geared"] == 1
+    assert {d for d, a in up if a == "pkg.engine.Motor"} == {"pkg.engine.Geared", "pkg.pumps.Pump", "pkg.pumps.PumpOf", "pkg.fans.Fan", "pkg.mills.Mill"}
 
 
 def found(tables, *only):
@@ -81,7 +81,33 @@ def test_scan_of_a_tree(spark, tmp_path):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_text(source)
     got = {r.path: r.module for r in code.modules(spark, [str(tmp_path)]).collect()}
-    assert set(got) >= {p for p, s in ROWS if s} | {"tests/test_z.py"} and got["pkg/base.py"] == "pkg.base"
+    assert set(got) >= {p for p, s in ROWS if s} | {"tests/test_z.py"} and got["pkg/engine.py"] == "pkg.engine"
     assert not [p for p in got if p.startswith((".hidden", "build"))]
     assert "tests/test_z.py" not in {r.path for r in code.modules(spark, [str(tmp_path), str(tmp_path / "pkg")], tests=False).collect()}
     assert detectors.analyze(spark, [str(tmp_path)], only=["mirrored_constant"]).count() == 1
+
+
+def settled(spark, rows):
+    modules = settle(code.modules_from_rows(spark.createDataFrame(rows, "path string, source string")), "modules")
+    return settle(code.facts(modules), "facts"), modules
+
+
+def test_a_scope_is_asked_of_all_places(spark):
+    """Nine modules with one constant: more than evidence holds, and a folder is not another that its name begins."""
+    tables = settled(spark, [(f"p{i}/m.py", "LIMIT = 7\n") for i in range(9)])
+    got = detectors.findings(*tables, only=["mirrored_constant"])
+    assert got.first().n == 9 and len(got.first().evidence) == detectors.EVIDENCE
+    assert detectors.in_scope(got, ["p8"]).count() == 1 and detectors.in_scope(got, ["p8/m.py"]).count() == 1
+    assert detectors.in_scope(got, ["p"]).count() == 0 and detectors.in_scope(got, ["p8/mm"]).count() == 0
+
+
+def test_pairs_of_classes_have_places(spark):
+    tables = settled(spark, [("pkg/a.py", "class A:\n    x: int\n    y: int\n    p: int\nclass B:\n    x: int\n    y: int\n    q: int\n")])
+    (r,) = detectors.in_scope(detectors.findings(*tables, only=["repeated_field_family"]), ["pkg"]).collect()
+    assert [(e.path, e.line) for e in r.evidence] == [("pkg/a.py", 1), ("pkg/a.py", 5)]
+
+
+def test_a_module_too_deep_is_a_fact(spark):
+    tables = settled(spark, [("deep.py", "x = " + " + ".join(["1"] * 20_000)), ("fine.py", "LIMIT = 7\n")])
+    assert [r.path for r in tables[0].where("family = 'syntax_error'").collect()] == ["deep.py"]
+    assert tables[0].where("path = 'fine.py' and family = 'constant'").count() == 1
