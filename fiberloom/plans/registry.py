@@ -27,4 +27,4 @@ def query(sql: str | None = None):
     return put
 
 
-from fiberloom.plans import graphs, planted, portfolio, ranks, relations, shapes  # noqa: E402, F401
+from fiberloom.plans import graphs, planted, policies, portfolio, ranks, relations, shapes  # noqa: E402, F401

@@ -136,13 +136,13 @@ def overlay_merge(spark, table):
 
 
 @query("""
-WITH asked AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT 'Brand#none'), k AS (SELECT p_brand AS name, count(DISTINCT p_type) AS n, min(p_type) AS one FROM part WHERE p_size = 1 GROUP BY 1)
+WITH asked AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT 'Brand#none'), k AS (SELECT p_brand AS name, count(DISTINCT p_type) AS n, min(p_type) AS one FROM part GROUP BY 1)
 SELECT name, coalesce(n, 0)::BIGINT AS candidates, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS state, CASE WHEN n = 1 THEN one END AS target FROM asked LEFT JOIN k USING (name)
 """)
 def claim_resolution(spark, table):
     part = table("part").withColumnRenamed("p_brand", "name")
     asked = part.select("name").union(spark.createDataFrame([("Brand#none",)], "name string"))
-    return m.claims(asked, part.where("p_size = 1"), "name", "p_type")
+    return m.claims(asked, part, "name", "p_type")
 
 
 @query("""
