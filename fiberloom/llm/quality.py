@@ -206,8 +206,9 @@ def judge(documents: DataFrame, threshold: float = THRESHOLD, shrink: float = SH
     vectors = settle(good.select(F.explode(F.array(F.col("_fine"), F.col("_wide"), F.lit("*"))).alias("_group"), *names), "quality-vectors")
     found = concentrate(vectors, "_group")
     at = lambda key: good.select(*key).distinct()
-    whole = found.where("_group = '*'").drop("_group").withColumn("_any", F.lit(1))
-    wide = drawn(found.withColumnRenamed("_group", "_wide").join(at(["_wide"]), "_wide").withColumn("_any", F.lit(1)), whole, "_any", shrink)
+    whole = found.where("_group = '*'").first()  # one row of sums
+    share = {c: whole[c] / whole["_n"] * shrink if whole else 0.0 for c in MOMENTS}
+    wide = found.withColumnRenamed("_group", "_wide").join(at(["_wide"]), "_wide").select("_wide", *[(F.col(c) + F.lit(share[c])).alias(c) for c in MOMENTS])
     fine = drawn(found.withColumnRenamed("_group", "_fine").join(at(["_fine", "_wide"]), "_fine"), wide, "_wide", shrink)
     lookup = settle(with_estimate(fine, ["_fine"], CONSISTENCY).drop("_n"), "quality-lookup")
     placed = join_checked(rows, lookup, "_fine", "left", row_bytes=240, salt_by="doc_id")
