@@ -158,8 +158,8 @@ def met(waiting: DataFrame, heads: DataFrame) -> DataFrame:
     ids = waiting.select("doc_id", F.lit(None).cast("long").alias("_head")).unionByName(least.select(F.col("_next").alias("doc_id"), F.col("_next").alias("_head")))
     ids = ids.groupBy("doc_id").agg(F.max("_head").alias("_head"))  # some rows a range
     later = Window.orderBy(F.col("doc_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    follow = ids.withColumn("_next", F.last("_head", ignorenulls=True).over(later)).crossJoin(F.broadcast(least.agg(F.min("_next").alias("_first"))))  # one row
-    follow = settle(follow.select("doc_id", F.coalesce("_next", "_first").alias("_next")), "digest-follow")
+    first = least.agg(F.min("_next")).first()[0]
+    follow = settle(ids.select("doc_id", F.coalesce(F.last("_head", ignorenulls=True).over(later), F.lit(first).cast("long")).alias("_next")), "digest-follow")
     placed = join_checked(waiting.select("doc_id", "text", "fingerprint"), follow, "doc_id", row_bytes=32, salt_by="text")
     pairs = join_checked(placed, least, "_next", row_bytes=220, salt_by="text").select("doc_id", "text", "fingerprint", "_head", "_print")
 
