@@ -42,11 +42,10 @@ def connected_components(edges: DataFrame, left: str, right: str, most_rounds: i
 def closure(edges: DataFrame, child: str, parent: str, most_depth: int = 64) -> DataFrame:
     """(descendant, ancestor, depth): all that is reached over ``edges``, at the least depth; cycles end by themselves.
 
-    Each round joins only what the last one found; it ends when nothing new comes.
+    Each round joins only what the last one found and writes only what is new; it ends when nothing comes.
     """
     step = settle(edges.select(F.col(child).alias("descendant"), F.col(parent).alias("via")).where("descendant is not null and via is not null").distinct(), "closure-edges")
-    known = settle(step.select("descendant", F.col("via").alias("ancestor"), F.lit(1).cast("long").alias("depth")), "closure-known")
-    front = known
+    known = front = settle(step.select("descendant", F.col("via").alias("ancestor"), F.lit(1).cast("long").alias("depth")), "closure-front")
     up = step.select(F.col("descendant").alias("ancestor"), F.col("via").alias("next"))
     for depth in range(2, most_depth + 1):
         found = front.join(up, "ancestor").select("descendant", F.col("next").alias("ancestor")).distinct()
@@ -54,7 +53,7 @@ def closure(edges: DataFrame, child: str, parent: str, most_depth: int = 64) ->
         front = settle(found, "closure-front")
         if front.isEmpty():
             return known
-        known = settle(known.unionByName(front), "closure-known")
+        known = known.unionByName(front)
     raise RuntimeError(f"closure is deeper than {most_depth}")
 
 
@@ -70,6 +69,54 @@ def all_paths(spark, edges_view: str, roots_view: str, most_depth: int = 16) ->
         SELECT target, path FROM walk""")
 
 
+def path_counts(edges: DataFrame, src: str, dst: str, root, most_depth: int = 1000) -> DataFrame:
+    """(target, n_paths) of an acyclic graph: how many paths lead from the root to each node.
+
+    Counts are summed by node and length, so no path is ever made; a graph still walked after ``most_depth`` steps is an error.
+    """
+    step = settle(edges.select(F.col(src).alias("target"), F.col(dst).alias("_to")), "count-edges")
+    found = front = settle(step.sparkSession.createDataFrame([(root, 1)], f"target {dict(step.dtypes)['target']}, n_paths long"), "count-front")
+    for _ in range(most_depth):
+        front = settle(front.join(step, "target").groupBy("_to").agg(F.sum("n_paths").alias("n_paths")).withColumnRenamed("_to", "target"), "count-front")
+        if front.isEmpty():
+            return found.groupBy("target").agg(F.sum("n_paths").alias("n_paths"))
+        found = found.unionByName(front)
+    raise RuntimeError(f"paths are longer than {most_depth}: a cycle?")
+
+
+def dominators_from(edges: DataFrame, src: str, dst: str, root, most_depth: int = 1000) -> DataFrame:
+    """(target, dominator): nodes other than itself that lie on every path from the root to the target; cycles may occur.
+
+    Candidates are the nodes of one shortest path to each target, as every dominator lies on that; those are dropped that some
+    predecessor neither is nor has, until none is.  Rows are as many as nodes times their depth, not as paths.
+    """
+    step = settle(edges.select(F.col(src).alias("_from"), F.col(dst).alias("target")).distinct(), "dom-edges")
+    seen = front = settle(step.sparkSession.createDataFrame([(root,)], f"target {dict(step.dtypes)['target']}"), "dom-front")
+    above = None
+    for _ in range(most_depth):
+        found = front.withColumnRenamed("target", "_from").join(step, "_from").join(seen, "target", "left_anti").groupBy("target").agg(F.min("_from").alias("dominator"))
+        found = settle(found, "dom-front")
+        if found.isEmpty():
+            break
+        more = found if above is None else found.unionByName(found.select("target", F.col("dominator").alias("_via")).join(above.withColumnRenamed("target", "_via"), "_via").select("target", "dominator"))
+        level = settle(more, "dom-level")
+        above = level if above is None else above.unionByName(level)
+        front, seen = found.select("target"), seen.unionByName(found.select("target"))
+    else:
+        raise RuntimeError(f"nodes are further than {most_depth} from the root")
+    if above is None:
+        return seen.select("target", F.col("target").alias("dominator")).limit(0)
+    reached = settle(step.join(seen.withColumnRenamed("target", "_from"), "_from", "left_semi").where(F.col("target") != F.lit(root)), "dom-reached")
+    now = settle(above, "dom")
+    while True:
+        asked = now.join(reached, "target").where("dominator <> _from")
+        lacking = asked.join(now.select(F.col("target").alias("_from"), "dominator"), ["_from", "dominator"], "left_anti").select("target", "dominator").distinct()
+        lacking = settle(lacking, "dom-lacking")
+        if lacking.isEmpty():
+            return now
+        now = settle(now.join(lacking, ["target", "dominator"], "left_anti"), "dom")
+
+
 def dominators(paths: DataFrame) -> DataFrame:
     """(target, dominator): nodes other than itself that lie on every path to the target."""
     totals = paths.groupBy("target").agg(F.count("*").alias("_all"))

@@ -130,3 +130,20 @@ def confusable_pairs(df: DataFrame, row_id: str, views: list[list[str]]) -> Data
         rows = df.select(key.alias("k"), F.col(row_id).alias("id"))
         parts.append(rows.withColumnRenamed("id", "left_id").join(rows.withColumnRenamed("id", "right_id"), "k").where("left_id < right_id").select("left_id", "right_id"))
     return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def confusable_count(df: DataFrame, views: list[list[str]]) -> DataFrame:
+    """One row ``edges``: how many pairs of rows are alike under one view or more, without making any.
+
+    By inclusion and exclusion: pairs alike under several views are those of the fibers of all their columns.
+    """
+    parts = []
+    for k in range(1, len(views) + 1):
+        for some in combinations(views, k):
+            axes = sorted({a for v in some for a in v})
+            pairs = df.groupBy(*axes).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("p"))
+            parts.append(pairs.select((F.col("p") * (1 if k % 2 else -1)).alias("p")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.agg(F.sum("p").alias("edges"))

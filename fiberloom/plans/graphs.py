@@ -44,12 +44,14 @@ t AS (SELECT target, count(*) AS k FROM walk GROUP BY 1), o AS (SELECT target, n
 SELECT o.target, o.node AS dominator FROM o JOIN t ON o.target = t.target AND o.k = t.k WHERE o.node <> o.target
 """)
 def dominators(spark, table):
-    for name in ("region", "nation", "supplier"):
-        table(name).createOrReplaceTempView(f"_dominators_{name}")
-    edges = EDGES.replace("FROM region", "FROM _dominators_region").replace("FROM nation", "FROM _dominators_nation").replace("FROM supplier", "FROM _dominators_supplier")
-    spark.sql(edges).createOrReplaceTempView("_dominators_edges")
-    spark.sql("SELECT 'root' AS id").createOrReplaceTempView("_dominators_roots")
-    return graph.dominators(graph.all_paths(spark, "_dominators_edges", "_dominators_roots", most_depth=4))
+    """Regions, nations and buckets of suppliers under one root: who lies on every way to whom."""
+    edge = lambda df, a, b: df.select(a.alias("src"), b.alias("dst"))
+    named = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    region, nation, supplier = (table(t) for t in ("region", "nation", "supplier"))
+    edges = edge(region, F.lit("root"), named("r", F.col("r_regionkey")))
+    edges = edges.union(edge(nation, named("r", F.col("n_regionkey")), named("n", F.col("n_nationkey"))))
+    edges = edges.union(edge(supplier, named("n", F.col("s_nationkey")), named("s", F.col("s_suppkey") % 50)))
+    return graph.dominators_from(edges, "src", "dst", "root")
 
 
 @query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) AND s_suppkey % 2 = 1")

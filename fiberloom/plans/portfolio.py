@@ -105,9 +105,7 @@ def path_diagrams(spark, table):
     s = table("supplier").where("s_suppkey > 0").select(F.col("s_suppkey").alias("src"))
     most = table("supplier").agg(F.max("s_suppkey")).first()[0] or 0
     edges = s.select("src", (F.col("src") * 2).alias("dst")).union(s.select("src", F.col("src") * 3)).where(F.col("dst") <= most)
-    edges.createOrReplaceTempView("_diagram_edges")
-    spark.range(1, 2).createOrReplaceTempView("_diagram_roots")
-    return graph.all_paths(spark, "_diagram_edges", "_diagram_roots", most_depth=40).where("target <> 1").groupBy("target").agg(F.count("*").alias("n_paths")).where("n_paths >= 2")
+    return graph.path_counts(edges, "src", "dst", 1).where("target <> 1 and n_paths >= 2")
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) AND n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name <> 'ASIA')")

@@ -143,3 +143,61 @@ def test_greedy_cover_is_whole_or_an_error(spark):
     assert search.greedy_cover(df, "o", "i").count() == 4
     with pytest.raises(ValueError, match="left after 3 rounds"):
         search.greedy_cover(df, "o", "i", most_rounds=3)
+
+
+def test_overlaps_against_all_pairs(spark):
+    import random
+    from itertools import combinations
+
+    rnd = random.Random(4)
+    sets = {i: {"hot"} | {f"t{rnd.randrange(25)}" for _ in range(rnd.randint(0, 8))} for i in range(60)}
+    df = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "i long, t string")
+    for least in (1, 2, 4):
+        want = sorted((a, b, len(sets[a] & sets[b])) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= least)
+        assert sorted(map(tuple, matching.overlap_pairs(df, "i", "t", least).collect())) == want
+    other = {f"r{i}": {"hot"} | {f"t{rnd.randrange(25)}" for _ in range(rnd.randint(1, 12))} for i in range(30)}
+    right = spark.createDataFrame([(i, t) for i, s in other.items() for t in s], "r string, t string")
+    for least, sure, ratio in ((2, 3, 0.5), (1, 9, 0.9), (4, 5, 0.1)):
+        got = sorted((r.i, r.r, r.n_shared, r.total) for r in matching.token_edges(df, right, "i", "r", "t", least, sure, ratio).collect())
+        n = {(i, r): len(s & o) for i, s in sets.items() for r, o in other.items()}
+        assert got == sorted((i, r, k, len(other[r])) for (i, r), k in n.items() if k >= least and (k >= sure or k / len(other[r]) >= ratio))
+
+
+def test_dominators_and_path_counts(spark):
+    import random
+
+    rnd = random.Random(6)
+    for trial in range(2):
+        pairs = {(rnd.randrange(12), rnd.randrange(12)) for _ in range(26)} | {(0, 1)}
+        near = {a: sorted(b for x, b in pairs if x == a and b != a) for a in range(12)}
+
+        def reach(without):
+            seen, todo = set(), [0] if without != 0 else []
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += [y for y in near[x] if y != without]  # noqa: B023
+            return seen
+
+        want = sorted((t, d) for t in reach(None) for d in reach(None) if d != t and t not in reach(d))
+        edges = spark.createDataFrame([(a, b) for a, b in pairs if a != b], "a long, b long")
+        assert sorted(map(tuple, graph.dominators_from(edges, "a", "b", 0).collect())) == want
+        down = sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]})
+        ways = {0: 1}
+        for t in range(1, 12):
+            ways[t] = sum(ways[a] for a, b in down if b == t)
+        got = {r.target: r.n_paths for r in graph.path_counts(spark.createDataFrame(down, "a long, b long"), "a", "b", 0).collect()}
+        assert got == {t: n for t, n in ways.items() if n}
+
+
+def test_pairs_alike_are_counted_without_pairs(spark):
+    import random
+    from itertools import combinations
+
+    rnd = random.Random(2)
+    rows = [(rnd.randrange(4), rnd.randrange(3), rnd.choice(("x", None))) for _ in range(50)]
+    df = spark.createDataFrame(rows, "a long, b long, c string")
+    views = [["a"], ["b", "c"], ["a", "c"]]
+    alike = lambda p, q: any(all(p["abc".index(x)] == q["abc".index(x)] for x in v) for v in views)
+    assert grouping.confusable_count(df, views).first().edges == sum(alike(p, q) for p, q in combinations(rows, 2))

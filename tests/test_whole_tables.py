@@ -94,3 +94,16 @@ def test_fewest_against_all_choices():
         every = set().union(*sets.values())
         want = next(some for k in range(9) for some in combinations(sorted(sets), k) if set().union(*(sets[s] for s in some)) == every)
         assert search.fewest(sets) == want
+
+
+def test_greedy_cover(spark, rows):
+    """Each pick has most brands that no pick before it has (ties: the least supplier), until all are covered."""
+    owned = defaultdict(set)
+    for s, b in rows("SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey"):
+        owned[s].add(b)
+    left, want = set().union(*owned.values()), []
+    while left:
+        gain, pick = min((-len(v & left), s) for s, v in owned.items())
+        want.append((len(want) + 1, pick, -gain))
+        left -= owned[pick]
+    assert sorted(tuple(r) for r in registry.QUERIES["greedy_cover"](spark, str(FOLDER)).collect()) == want
