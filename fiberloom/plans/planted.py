@@ -311,7 +311,7 @@ def register() -> None:
     """Queries of groups of cases; the places of findings with one subject add up."""
     for name, cases in groups().items():
         registry.CODE_QUERIES[name] = lambda spark, sf_dir, c=cases: found(spark.read.parquet(f"{sf_dir}/supplier.parquet"), c)
-        registry.SQL[name] = expected_sql(cases)
+        registry.CODE_SQL[name] = expected_sql(cases)
 
 
 register()

@@ -10,6 +10,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Queries over source code written from a table, apart from those that the bench times.
 CODE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+CODE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):

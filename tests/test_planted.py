@@ -13,7 +13,7 @@ def oracle():
 
 @pytest.mark.parametrize("name", sorted(registry.CODE_QUERIES))
 def test_what_is_planted_is_found_and_nothing_else(spark, oracle, name):
-    assert same(registry.CODE_QUERIES[name](spark, str(FOLDER)), oracle, registry.SQL[name]) == ""
+    assert same(registry.CODE_QUERIES[name](spark, str(FOLDER)), oracle, registry.CODE_SQL[name]) == ""
 
 
 def test_every_detector_has_a_case_and_a_number_of_its_own():
