@@ -12,15 +12,18 @@ from pyspark.sql import DataFrame
 
 #: Rows of an Arrow batch of texts: some megabytes of text at the usual lengths, where Spark's own limit would gather tens of them.
 TEXT_ROWS = 1000
-LIMIT = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of one: where rows are long, a batch ends before it has TEXT_ROWS of them.
+TEXT_BYTES = 8 << 20
+ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df``, after lowering its session's limit to TEXT_ROWS if it is higher or unset."""
+    """``df``, after lowering its session's limits to TEXT_ROWS and TEXT_BYTES if they are higher or unset."""
     conf = df.sparkSession.conf
-    now = int(conf.get(LIMIT, "0"))
-    if not 0 < now <= TEXT_ROWS:
-        conf.set(LIMIT, str(TEXT_ROWS))
+    for name, most in ((ROWS, TEXT_ROWS), (BYTES, TEXT_BYTES)):
+        now = int(conf.get(name, str(most + 1)).rstrip("b"))
+        if not 0 < now <= most:
+            conf.set(name, str(most))
     return df
 
 
