@@ -142,10 +142,10 @@ class Chunk:
         sizes = np.array([len(x) for x in texts], dtype=np.int64)
         self.starts = np.r_[0, np.cumsum(sizes)].astype(np.int64)
         self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        valid = np.zeros(len(self.data) + 1, dtype=np.int32)
-        np.add.at(valid, self.starts[:-1], (sizes >= length).astype(np.int32))
-        np.add.at(valid, self.starts[1:] - np.minimum(sizes, length - 1), -(sizes >= length).astype(np.int32))
-        valid = np.cumsum(valid[:-1]) > 0
+        valid = np.zeros(len(self.data) + 1, dtype=np.int8)
+        np.add.at(valid, self.starts[:-1], (sizes >= length).astype(np.int8))
+        np.add.at(valid, self.starts[1:] - np.minimum(sizes, length - 1), -(sizes >= length).astype(np.int8))
+        valid = np.cumsum(valid[:-1], dtype=np.int8) > 0
         parts = []
         for lo, hi in self.blocks(length):  # strings that start in [lo, hi)
             window = self.data[lo : min(hi + length - 1, len(self.data))]
@@ -422,12 +422,13 @@ def cut_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, ke
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         own = Chunk(table, length, gram)
         again, _, places = marked(own, replies, buckets)
-        change = np.zeros(len(own.data) + 1, dtype=np.int32)
+        kind = np.int16 if length < 1 << 14 else np.int32  # a byte lies in ``length`` strings, told twice at most
+        change = np.zeros(len(own.data) + 1, dtype=kind)
         np.add.at(change, own.runs.first[again], 1)
         np.add.at(change, own.runs.last[again] + length, -1)
         np.add.at(change, places, 1)
         np.add.at(change, places + length, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.cumsum(change[:-1], dtype=kind) > 0
         out: list[list] = [[] for _ in range(6)]
         for a, b in zip(own.starts[:-1].tolist(), own.starts[1:].tolist(), strict=True):
             cut, data = gone[a:b], own.data[a:b]
