@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +13,25 @@ MANIFEST = "name string, version string, digest string, n long, bytes long, writ
 
 
 def publish(df: DataFrame, root: str, name: str) -> str:
-    """Write a table under a version named by its rows' digest, then the manifest row that makes it the latest."""
+    """Write a table beside its version's place, move it there, then add the manifest row that makes it the latest.
+
+    A version is named by its rows' digest; one that is there already is left as it is, so no reader sees a half-written one.
+    """
     spark = df.sparkSession
     digest = input_digest(df)
     version = digest.replace("-", "_")[-40:]
     path = f"{root}/{name}/version={version}"
-    df.write.mode("overwrite").parquet(path)
+    staged = f"{root}/_staging/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(staged)
+    jvm, context = spark._jvm, spark.sparkContext._jsc
+    place, found = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staged)
+    files = place.getFileSystem(context.hadoopConfiguration())
+    if files.exists(place):
+        files.delete(found, True)
+    else:
+        files.mkdirs(place.getParent())
+        if not files.rename(found, place):
+            raise OSError(f"{staged} could not be moved to {path}")
     n = spark.read.schema(df.schema).parquet(path).count()
     size = spark.read.format("binaryFile").load(path + "/*.parquet").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] if n else 0
     row = spark.createDataFrame([(name, version, digest, n, int(size))], "name string, version string, digest string, n long, bytes long")
