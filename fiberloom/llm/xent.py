@@ -12,7 +12,9 @@ it (the first after a start sign); its score is target loss minus background los
 Every word of every document is counted.  Documents are read once, in chunks of CHUNK_CHARS; a chunk keeps its words by
 number and sends each distinct word and bigram once, with its counts, to the bucket of its hash.  Buckets add up
 the chunks' counts and send each chunk the sums of what it has; chunks then score their documents.  The number of
-buckets grows with the corpus, and a common word is one entry of each chunk, so no task grows with either.
+buckets grows with the corpus, and a common word is one entry of each chunk, so no task grows with either.  Which
+documents are targets meets the ids of the chunks by a shuffle and comes back as one bit a document, so that no task and
+not the driver holds the table of targets, which grows with the corpus.
 
 Defined cases: a null text or one without words has no losses and no score (null); labels without a matching
 document count for nothing; without any target document its model is uniform, which leaves scores comparable;
@@ -43,8 +45,8 @@ CHUNK_CHARS = 1 << 24
 BUCKET_WORDS, LEAST_BUCKETS = 5_000_000, 64
 U = np.uint64
 SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
-#: A chunk: ids, sizes and targets of its documents, their words by number, and the hashes of these.
-CHUNK = "chunk long, ids array<long>, sizes binary, targets binary, own binary, words binary, n_words long, n_target long, starts long, target_starts long"
+#: A chunk: ids and sizes of its documents, their words by number, and the hashes of these.
+CHUNK = "chunk long, ids array<long>, sizes binary, own binary, words binary, n_words long, starts long"
 #: What a chunk has of a bucket, in order of hashes: those and its counts, or the counts of the corpus.
 SENT = "chunk long, bucket long, words binary, pairs binary, word_counts binary, pair_counts binary"
 SUMS = "chunk long, bucket long, word_counts binary, pair_counts binary, vocabulary long"
@@ -104,18 +106,18 @@ def counted(at: np.ndarray, chosen: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(at, minlength=n), np.bincount(at[chosen], minlength=n)], axis=1)
 
 
-def in_chunks(marked: DataFrame) -> DataFrame:
-    """Rows of CHUNK for documents (doc_id, text, target)."""
+def in_chunks(documents: DataFrame) -> DataFrame:
+    """Rows of CHUNK for documents (doc_id, text)."""
     most_chars = CHUNK_CHARS
 
-    def chunk(number: int, ids: list, parts: list[np.ndarray], target: list[bool], numbers: dict[int, int]) -> pa.RecordBatch:
-        sizes, target = np.array([len(x) for x in parts], dtype=np.int64), np.array(target, dtype=bool)
+    def chunk(number: int, ids: list, parts: list[np.ndarray], numbers: dict[int, int]) -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in parts], dtype=np.int64)
         own, words = np.concatenate(parts), np.fromiter(numbers, dtype=U, count=len(numbers))
         common = np.argsort(-np.bincount(own, minlength=len(words)), kind="stable")  # low numbers for common words
         rank = np.empty(len(words), dtype=np.int32)
         rank[common] = np.arange(1, len(words) + 1, dtype=np.int32)
-        sums = len(own), sizes[target].sum(), (sizes > 0).sum(), (target & (sizes > 0)).sum()
-        blobs = [squeezed(x) for x in (sizes, target, rank[own], words[common])]
+        sums = len(own), (sizes > 0).sum()
+        blobs = [squeezed(x) for x in (sizes, rank[own], words[common])]
         columns = [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), *[pa.array([x], pa.binary()) for x in blobs], *[pa.array([int(x)]) for x in sums]]
         return pa.RecordBatch.from_arrays(columns, names=[f.split(" ")[0] for f in CHUNK.split(", ")])
 
@@ -123,38 +125,67 @@ def in_chunks(marked: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         places, chunks = WordPlaces(), TaskContext.get().partitionId() << 32
-        ids, parts, target, chars, numbers, known = [], [], [], 0, {}, {}
+        ids, parts, chars, numbers, known = [], [], 0, {}, {}
 
         def number(w: str) -> int:
             known[w] = n = numbers.setdefault(places[w], len(numbers))
             return n
 
         for batch in batches:
-            for i, text, good in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 words = [w for w in text.translate(SPACE).split(" ") if w]
                 ids.append(i)
                 parts.append(np.array([known[w] if w in known else number(w) for w in words], dtype=np.int32))
-                target.append(good)
                 chars += len(text) + 16
                 if chars >= most_chars:
-                    yield chunk(chunks, ids, parts, target, numbers)
+                    yield chunk(chunks, ids, parts, numbers)
                     chunks += 1
-                    ids, parts, target, chars = [], [], [], 0
+                    ids, parts, chars = [], [], 0
                     numbers.clear()
                     known.clear()
         if ids:
-            yield chunk(chunks, ids, parts, target, numbers)
+            yield chunk(chunks, ids, parts, numbers)
 
-    return bounded(marked).select("doc_id", "text", "target").mapInArrow(tidy(run), CHUNK)
+    return bounded(documents).select("doc_id", "text").mapInArrow(tidy(run), CHUNK)
+
+
+def with_marks(chunks: DataFrame, targets: DataFrame) -> DataFrame:
+    """``chunks`` with ``marks``: (at, bits) where targets are among its documents, 64 documents a number; null without any."""
+    places = chunks.select("chunk", F.posexplode("ids").alias("_place", "doc_id")).where("doc_id is not null")
+    found = places.join(targets.hint("shuffle_merge"), "doc_id", "left_semi")
+    bits = found.groupBy("chunk", F.expr("_place div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, _place % 64))").alias("bits"))
+    marks = settle(bits.groupBy("chunk").agg(F.collect_list(F.struct("at", "bits")).alias("marks")), "xent-marks")
+    return join_checked(chunks, marks, "chunk", "left")
+
+
+def marked(marks: list[dict] | None, n: int) -> np.ndarray:
+    """Which of a chunk's ``n`` documents are targets."""
+    bits = np.zeros(-(-n // 64), dtype="<i8")
+    for m in marks or []:
+        bits[m["at"]] = m["bits"]
+    return np.unpackbits(bits.view(np.uint8), count=n, bitorder="little").astype(bool)
+
+
+def target_sums(chunks: DataFrame) -> tuple[int, int]:
+    """Words of the target, and its documents with a word, for chunks with marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [expanded(x, np.int64) for x in batch.column(0).to_pylist()]
+            own = [s[marked(m, len(s))] for s, m in zip(sizes, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in own], pa.int64()), pa.array([int((x > 0).sum()) for x in own], pa.int64())], names=["n", "starts"])
+
+    sums = chunks.where("marks is not null").select("sizes", "marks").mapInArrow(run, "n long, starts long")
+    return tuple(sums.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "starts")]).first())
 
 
 def send(chunks: DataFrame, buckets: int) -> DataFrame:
-    """Rows of SENT for rows of CHUNK."""
+    """Rows of SENT for rows of CHUNK with marks."""
 
     def one(r: dict) -> Iterator[pa.RecordBatch]:
         sizes, own, words = expanded(r["sizes"], np.int64), expanded(r["own"], np.int32), expanded(r["words"], U)
-        chosen = np.repeat(expanded(r["targets"], np.bool_), sizes)
+        chosen = np.repeat(marked(r["marks"], len(sizes)), sizes)
         pairs, at = distinct_pairs(sizes, own, words)
         sides = []
         for hashes, places in ((words, own - 1), (pairs, at)):
@@ -171,7 +202,7 @@ def send(chunks: DataFrame, buckets: int) -> DataFrame:
             for i in range(batch.num_rows):
                 yield from one(batch.slice(i, 1).to_pylist()[0])
 
-    return chunks.select("chunk", "sizes", "targets", "own", "words").mapInArrow(tidy(run), SENT)
+    return chunks.select("chunk", "sizes", "marks", "own", "words").mapInArrow(tidy(run), SENT)
 
 
 def add_up(sent: DataFrame) -> DataFrame:
@@ -230,10 +261,11 @@ def score(chunks: DataFrame, sums: DataFrame, totals: tuple[int, int], starts: t
 
 def cross_entropy_difference(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """The scores of all documents; ``targets`` has the doc_ids of the target documents."""
-    ids = settle(targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(True)), "xent-targets")
-    marked = join_checked(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id", "left", row_bytes=24)
-    chunks = settle(in_chunks(marked.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))), "xent-chunks")
-    t = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_target", "starts", "target_starts")]).first()
+    ids = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    chunks = settle(in_chunks(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "xent-chunks")
+    t = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "starts")]).first()
     buckets = max(LEAST_BUCKETS, -(-t["n_words"] // BUCKET_WORDS))
-    sums = settle(add_up(send(chunks, buckets)), "xent-sums")
-    return score(chunks, sums, (t["n_words"], t["n_target"]), (t["starts"], t["target_starts"]), buckets)
+    dealt = with_marks(chunks, ids)
+    n_target, target_starts = target_sums(dealt)
+    sums = settle(add_up(send(dealt, buckets)), "xent-sums")
+    return score(chunks, sums, (t["n_words"], n_target), (t["starts"], target_starts), buckets)

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fiberloom.llm import xent
 from tests.llm.fixtures import documents, frame, small
@@ -78,3 +79,16 @@ def test_chunks_and_buckets_do_not_matter(spark, monkeypatch):
     monkeypatch.setattr(xent, "CHUNK_CHARS", 500)
     monkeypatch.setattr(xent, "LEAST_BUCKETS", 3)
     assert one == sorted(map(repr, xent.cross_entropy_difference(frame(spark), labels).selectExpr("doc_id", "n_words", "round(score, 9) s").collect()))
+
+
+def test_targets_are_not_broadcast(spark):
+    """However many there are: here more than a broadcast may hold."""
+    labels = spark.range(300_000).select((F.col("id") * 3).alias("doc_id"))
+    few = labels.where("doc_id < 100000")
+    want = sorted(map(repr, xent.cross_entropy_difference(frame(spark), few).selectExpr("doc_id", "n_words", "round(score, 9) s").collect()))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "3m")
+    try:
+        got = sorted(map(repr, xent.cross_entropy_difference(frame(spark), labels).selectExpr("doc_id", "n_words", "round(score, 9) s").collect()))
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert got == want
