@@ -201,3 +201,10 @@ def test_pairs_alike_are_counted_without_pairs(spark):
     views = [["a"], ["b", "c"], ["a", "c"]]
     alike = lambda p, q: any(all(p["abc".index(x)] == q["abc".index(x)] for x in v) for v in views)
     assert grouping.confusable_count(df, views).first().edges == sum(alike(p, q) for p, q in combinations(rows, 2))
+
+
+def test_no_text_of_an_atom_meets_the_pairs(spark):
+    df = spark.createDataFrame([(i, f"a line that is long {k}") for i in range(6) for k in range(3)], "row long, wording string")
+    got = matching.overlap_pairs(df, "row", "wording", 2)
+    assert "wording" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(a, b, 3) for a, b in combinations(range(6), 2)]
