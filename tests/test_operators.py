@@ -208,3 +208,15 @@ def test_no_text_of_an_atom_meets_the_pairs(spark):
     got = matching.overlap_pairs(df, "row", "wording", 2)
     assert "wording" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, got.collect())) == [(a, b, 3) for a, b in combinations(range(6), 2)]
+
+
+def test_copies_make_pairs_once_their_sets_are_counted(spark, monkeypatch):
+    made = {}
+    monkeypatch.setattr(matching, "settle", lambda df, label: made.setdefault(label, scratch.settle(df, label)))
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 0)
+    kinds = [{"a", "b", "c"}, {"b", "c", "d"}, {"d", "e"}, {"e", "f"}]
+    rows = {i: kinds[i % 4] for i in range(40)}
+    df = spark.createDataFrame([(i, t) for i, s in rows.items() for t in s], "i long, t string")
+    want = sorted((a, b, len(rows[a] & rows[b])) for a, b in combinations(rows, 2) if len(rows[a] & rows[b]) >= 2)
+    assert sorted(map(tuple, matching.overlap_pairs(df, "i", "t", 2).collect())) == want
+    assert made["overlap-sets"].count() == 4
