@@ -232,3 +232,26 @@ def test_confusable_pairs_are_made_once(spark):
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
     twice = grouping.confusable_pairs(spark.createDataFrame([*rows, *rows], "i int, a int, b int, c int"), "i", views)
     assert sorted(map(tuple, twice.collect())) == want
+
+
+@pytest.mark.parametrize("broadcast", [24 << 20, 0])
+def test_related_pairs_are_weighed_where_they_are_made(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", broadcast)
+    for name, value in (("SETS_A_BLOCK", 2), ("SETS_A_TASK", 5), ("MEMBERS", 3)):
+        monkeypatch.setattr(matching, name, value, raising=False)
+    places = [(i, i % 4 if i % 9 else None) for i in range(50)]
+    tags = [(i, f"t{k}") for i in range(50) for k in range(8) if (i % 5 * 3 + k) % 4 < 2] + [(7, None), (None, "t1"), (60, "t1"), (60, "lone")]
+    parts = [(places, "id long, key int", 3), (tags + tags[:9], "id long, key string", 1)]
+    own = [({}, weight) for *_, weight in parts]
+    for (rows, _, _), (keys, _) in zip(parts, own, strict=True):
+        for i, k in rows:
+            keys.setdefault(i, set()).update([] if k is None else [k])
+    weigh = lambda a, b: sum(weight * len(keys.get(a, set()) & keys.get(b, set())) for keys, weight in own)
+    frames = [(spark.createDataFrame(rows, schema), weight) for rows, schema, weight in parts]
+    for least in (1, 3, 5):
+        got = matching.relation_graph(frames, least)
+        assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+        want = [(a, b, weigh(a, b)) for a, b in combinations([*range(50), 60], 2) if weigh(a, b) >= least]
+        assert sorted(map(tuple, got.collect())) == want
+    with pytest.raises(ValueError):
+        matching.relation_graph([(frames[0][0], -1)], 1)
