@@ -111,3 +111,30 @@ def test_a_module_too_deep_is_a_fact(spark):
     tables = settled(spark, [("deep.py", "x = " + " + ".join(["1"] * 20_000)), ("fine.py", "LIMIT = 7\n")])
     assert [r.path for r in tables[0].where("family = 'syntax_error'").collect()] == ["deep.py"]
     assert tables[0].where("path = 'fine.py' and family = 'constant'").count() == 1
+
+
+def test_a_parse_lists_no_node_twice_and_writes_like_bodies_once(monkeypatch):
+    import ast
+    import hashlib
+    from collections import Counter
+
+    from fiberloom.sources import shapes
+
+    listed, written = Counter(), []
+    walk, unparse = ast.iter_child_nodes, ast.unparse
+    monkeypatch.setattr(ast, "iter_child_nodes", lambda node: (listed.update([node]), walk(node))[1])
+    monkeypatch.setattr(ast, "unparse", lambda node: (written.append(node), unparse(node))[1])
+    source = "".join(f"class A{i}:\n    def f{i}(self, a{i}):\n        if a{i} > {i}:\n            return self.g{i}(a{i}, k='v{i}')\n        return [x{i} async for x{i} in a{i}] + [-{i}.5]\n" for i in range(5))
+    facts = [r for r in code.parse(source) if r[0] == "method"]
+    assert max(listed.values(), default=0) <= 1 and len(facts) == 5
+    assert len({r[6] for r in facts}) == 1 and len([n for n in written if isinstance(n, ast.Module)]) <= 1
+
+    def plain(f):
+        return hashlib.md5(ast.dump(code.Shape().visit(ast.parse(unparse(ast.Module(body=code.body_of(f), type_ignores=[]))))).encode()).hexdigest()
+
+    bodies = ["return 1", "return 'a'", "return -1", "return 1j", "return None", "return f'{a!r:>{b}} c'", "return f'{1}' 'x'", "'said'\nreturn x.y", "x = 1, 2", "x: int = 3", "global z\nz = 1", "match a:\n  case [1, *b]: pass\n  case {'k': v, **w}: pass", "from a import b as c", "return lambda p, *q, r=1, **s: (p, q)", "f(*a, **b, c=1)", "f(d=1)", f"return 0x{'f' * 300}"]
+    for text in bodies + bodies:
+        f = ast.parse("def f():\n" + "\n".join(f"  {line}" for line in text.split("\n"))).body[0]
+        assert code.fingerprint(f) == plain(f), text
+    f = ast.parse("def f(a):\n  return a.b(c) if a else [d for d in a if -d]").body[0]
+    assert [x for x in shapes.inside(f, ast.Call, ast.Name)] == [x for x in ast.walk(f) if isinstance(x, (ast.Call, ast.Name))]
